@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddrank.llm import chat, exact_dedup
+from oddrank.llm import chat, common, exact_dedup, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,9 +30,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep="max")
 
 
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.new_path(spark, "token-store")
+    token_store.write_store(_table(spark, sf_dir, "documents"), path)
+    return token_store.store_digest(token_store.read_store(spark, path))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
     "op6_exact_dedup": op6_exact_dedup,
+    "op10_token_store": op10_token_store,
 }
 
 ORACLE_SQL: dict[str, str] = {
