@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddrank.llm import chat, common, exact_dedup, packing, token_store
+from oddrank.llm import chat, common, exact_dedup, html_text, packing, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep="max")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.new_path(spark, "token-store")
     token_store.write_store(_table(spark, sf_dir, "documents"), path)
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
     "op4_packing": op4_packing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_html_extraction": op9_html_extraction,
     "op10_token_store": op10_token_store,
 }
 
