@@ -19,6 +19,10 @@ from oddrank.llm import common
 #: Sub-ranges over which the copies of one text are spread.
 SALTS = 64
 
+#: Characters of a text in the range key. Splitters are sampled to the driver, so
+#: the key is short; the hash behind it parts texts that begin alike.
+LEAD = 16
+
 
 def exact_groups(
     docs: DataFrame,
@@ -43,9 +47,15 @@ def exact_groups(
     src = docs.select(
         docs[id_col].alias("id"),
         (normalise(raw) if normalise else raw).alias("body"),
-    ).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    ranged = src.repartitionByRange(common.partitions(docs.sparkSession), "body", "salt")
-    group = Window.partitionBy("body", "salt")
+    ).select(
+        "id",
+        "body",
+        F.substring("body", 1, LEAD).alias("lead"),
+        F.xxhash64("body").alias("mark"),
+        F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"),
+    )
+    ranged = src.repartitionByRange(common.partitions(docs.sparkSession), "lead", "mark", "salt")
+    group = Window.partitionBy("lead", "mark", "salt", "body")
     best: Column = F.max("id") if keep == "max" else F.min("id")
     local = ranged.select(
         "id",
