@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddrank.llm import chat, common, exact_dedup, html_text, packing, quality, substring_dedup, token_store
+from oddrank.llm import chat, common, exact_dedup, html_text, minhash_dedup, packing, quality, substring_dedup, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(
@@ -55,6 +59,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_packing": op4_packing,
