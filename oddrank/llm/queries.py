@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddrank.llm import chat, common, exact_dedup, html_text, minhash_dedup, packing, quality, substring_dedup, suffix_dedup, token_store
+from oddrank.llm import chat, common, decontamination, exact_dedup, html_text, minhash_dedup, packing, quality, substring_dedup, suffix_dedup, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep="max")
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return decontamination.contamination(docs, benchmark)
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.removed_bytes(_table(spark, sf_dir, "documents"), with_text=False)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_token_store": op10_token_store,
