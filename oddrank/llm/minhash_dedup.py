@@ -262,3 +262,15 @@ def near_duplicates(
             (F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))
         ).alias("kept"),
     )
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Rows that share an identifier stay or go together: they stay if one of them
+    is kept.
+    """
+    kept = near_duplicates(docs, id_col, text_col, **options).where("kept")
+    key = common.free_name(docs, "row_key")
+    named = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    return docs.withColumn(key, named).join(kept.select(named.alias(key)).distinct(), key, "left_semi").drop(key)
