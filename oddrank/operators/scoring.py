@@ -19,17 +19,24 @@ def calibrated(df: DataFrame, score: str, alias: str, by: list[str] | None = Non
     return ranks.with_ranks(df, score, by, {"midrank": alias})
 
 
-def calibrator(df: DataFrame, score: str, points: int = STORED_POINTS) -> list[tuple[float, float]]:
-    """(score, mid-rank) points of a reference, thinned to about ``points`` by rank."""
-    ranked = ranks.value_ranks(df, score)
+def calibrators(df: DataFrame, scores: dict[str, str], points: int = STORED_POINTS) -> dict[str, list[tuple[float, float]]]:
+    """(score, mid-rank) points of each named score column, thinned to about ``points`` by rank.
+
+    One plan for all columns: they are unpivoted and ranked by name.
+    """
+    pairs = F.array(*[F.struct(F.lit(n).alias("member"), F.col(c).cast("double").alias("x")) for n, c in scores.items()])
+    long = df.select(F.explode(pairs).alias("p")).select("p.member", "p.x")
+    ranked = ranks.value_ranks(long, "x", ["member"])
     thinned = (
         ranked.withColumn("cell", F.floor(F.col("midrank") * points))
-        .groupBy("cell")
-        .agg(F.max_by(F.struct(score, "midrank"), score).alias("p"))
-        .select("p.*")
-        .orderBy(score)
+        .groupBy("member", "cell")
+        .agg(F.max_by(F.struct("x", "midrank"), "x").alias("p"))
+        .select("member", "p.*")
     )
-    return [(r[0], r[1]) for r in thinned.collect()]
+    out: dict[str, list[tuple[float, float]]] = {n: [] for n in scores}
+    for r in thinned.collect():
+        out[r.member].append((r.x, r.midrank))
+    return {n: sorted(p) for n, p in out.items()}
 
 
 def calibrate_against(score: Column, points: list[tuple[float, float]]) -> Column:

@@ -708,3 +708,15 @@ def detection_reasons(spark, d):
     o = _orders_with_id(spark, d)
     fitted, ranked = detection.run_detection(o, cfg)
     return detection.reasons(o, ranked, fitted, cfg)
+
+
+@query(
+    """WITH m AS (SELECT covar_pop(l_quantity, l_quantity) a, covar_pop(l_quantity, l_discount * 100) b, covar_pop(l_discount * 100, l_discount * 100) c FROM lineitem),
+e AS (SELECT (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) l1, a + c AS t FROM m) SELECT 'pc_1' AS component, round(l1 / t, 6) AS explained FROM e"""
+)
+def principal_components(spark, d):
+    from oddrank.operators import reduce
+
+    li = _t(spark, d, "lineitem").select("l_quantity", (F.col("l_discount") * 100).alias("d"))
+    c = reduce.fit_components(li, ["l_quantity", "d"])
+    return spark.createDataFrame([(f"pc_{i + 1}", round(x, 6)) for i, x in enumerate(c.explained)], "component string, explained double")

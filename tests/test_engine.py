@@ -196,3 +196,53 @@ def test_roc_auc_ties_and_single_class(spark):
     assert r.roc_auc == pytest.approx(0.875)
     one = evaluate.ranking_metrics(df.withColumn("y", F.lit(1)), "s", "y").first()
     assert one.roc_auc is None or math.isnan(one.roc_auc)
+
+
+def test_components_are_orthonormal_and_explain(spark):
+    from oddrank.operators import reduce
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (200, 1)) @ np.array([[3.0, 1.0, 0.5]]) + rng.normal(0, 0.1, (200, 3))
+    df = frame(spark, [tuple(map(float, v)) for v in x], "a double, b double, c double")
+    c = reduce.fit_components(df, ["a", "b", "c"])
+    w = np.array(c.loadings)
+    assert np.allclose(w @ w.T, np.eye(2), atol=1e-9) and c.explained[0] > 0.98
+    got = np.array([list(r) for r in df.select(*c.columns()).collect()])
+    assert np.allclose(got, (x - x.mean(0)) @ w.T)
+
+
+def test_cli(spark, tmp_path, capsys):
+    from oddrank import cli
+
+    assert cli.main(["detectors"]) == 0 and "isolation_forest" in capsys.readouterr().out
+    (tmp_path / "c.json").write_text('{"scoring": {"combination": "most"}}')
+    assert cli.main(["config", str(tmp_path / "c.json")]) == 2
+    assert cli.main(["config", str(tmp_path / "none.json")]) == 3
+    spark.range(30).write.parquet(str(tmp_path / "t.parquet"))
+    assert cli.main(["inspect", str(tmp_path / "t.parquet")]) == 0 and "identifier_like" in capsys.readouterr().out
+
+
+def test_backtest_prefers_nothing_on_ties(spark):
+    from oddrank.plans import backtest
+
+    x, y = evaluate.scenario("point", 150, 5)
+    df = frame(spark, [(i, *map(float, v)) for i, v in enumerate(x)], "__row_id long, a double, b double, c double, d double")
+    labels = frame(spark, [(i, int(v)) for i, v in enumerate(y)], "__row_id long, y int")
+    out = backtest.backtest(df, labels, Config.from_dict({"scoring": {"detectors": ["isolation_forest", "kmeans_distance"]}}), replicates=2)
+    assert out["base"] == "intersection@1" and set(out["verdict"].values()) <= {"adopt", "keep", "reject"}
+
+
+def test_streamed_scores_equal_batch(spark, tmp_path):
+    from oddrank.streaming import score
+
+    x, _ = evaluate.scenario("point", 120, 4)
+    rows = [(i, *map(float, v)) for i, v in enumerate(x)]
+    df = frame(spark, rows, "__row_id long, a double, b double, c double, d double")
+    cfg = Config.from_dict({"scoring": {"detectors": ["isolation_forest", "kmeans_distance"]}})
+    fitted, ranked = detection.run_detection(df, cfg)
+    df.write.parquet(str(tmp_path / "in"))
+    stream = score.scored_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), fitted, cfg)
+    q = stream.writeStream.format("memory").queryName("streamed").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {r[0]: round(r[1], 9) for r in spark.sql("SELECT __row_id, score FROM streamed").collect()}
+    assert got == {r[readers.ROW_ID]: round(r.score, 9) for r in ranked.collect()}
