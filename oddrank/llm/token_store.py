@@ -121,15 +121,8 @@ def write_store(
         docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text")
     )
     width = 2 if tokens.encoder(tokenizer).size <= 1 << 16 else 4
-    sample = (
-        src.select("text", F.xxhash64("doc_id", "text").alias("at")).orderBy("at").limit(DICTIONARY_DOCS)
-    ).select(F.substring("text", 1, DICTIONARY_SAMPLE_BYTES).alias("text"))
     trained = train_dictionary(
-        [
-            serialise(tokens.encoder(tokenizer).ids(r.text), width)[:DICTIONARY_SAMPLE_BYTES]
-            for r in sample.collect()
-            if r.text
-        ]
+        [serialise(tokens.encoder(tokenizer).ids(t), width)[:DICTIONARY_SAMPLE_BYTES] for t in _sample(src)]
     )
     name = hashlib.sha256(trained).hexdigest() if trained else ""
     spark.createDataFrame([(name, bytearray(trained), width)], "hash string, dictionary binary, width int").coalesce(
@@ -169,6 +162,14 @@ def write_store(
     ranged.sortWithinPartitions(*order, "text").mapInArrow(encode, SHARD_SCHEMA).write.parquet(f"{path}/shards")
 
 
+def _sample(src: DataFrame) -> list[str]:
+    """About ``DICTIONARY_DOCS`` texts, evenly drawn by hash: no task sends more than its share."""
+    share = min(1.0, DICTIONARY_DOCS / max(1, src.count()))
+    drawn = F.xxhash64("doc_id", "text") <= F.lit(min(int(share * 2**64) - 2**63, 2**63 - 1))
+    texts = src.where(drawn & (F.col("text") != "")).select(F.substring("text", 1, DICTIONARY_SAMPLE_BYTES).alias("t"))
+    return [r.t for r in texts.limit(2 * DICTIONARY_DOCS).collect()]
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids) of a store: ``start`` counts the ids before a document.
 

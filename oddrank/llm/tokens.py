@@ -11,10 +11,12 @@ pieces begin or end with other white space go through the library whole.
 from __future__ import annotations
 
 import zlib
+from array import array
+from codecs import charmap_decode
 
 import numpy as np
 
-#: Distinct pieces that a worker remembers before it starts afresh.
+#: Distinct pieces and pre-tokens that a worker remembers before it starts afresh.
 MEMORY_PIECES = 1_000_000
 
 _encoders: dict[str, "PieceEncoder"] = {}
@@ -41,97 +43,62 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class _Known(dict):
-    """Piece -> its number; asks ``learn`` for a new one."""
+class PieceEncoder(dict):
+    """Piece -> its ids as bytes, with the space before it; learns what is missing.
 
-    def __init__(self, learn) -> None:
-        super().__init__()
-        self.learn = learn
-
-    def __missing__(self, piece: str) -> int:
-        return self.learn(piece)
+    A piece that can't be cut off from what is around it has None.
+    """
 
-
-class PieceEncoder:
     def __init__(self, path: str) -> None:
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
+        self.model = self.whole.model
         self.size = self.whole.get_vocab_size()
+        self.form = "H" if self.size <= 1 << 16 else "I"
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.alphabet = _byte_alphabet()
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known = _Known(self._learn)
-        self.tokens: dict[str, list[int]] = {}
-        self.flat, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
-        self.n_flat = self.n_pieces = 0
-        self.new_flat: list[int] = []
-        self.new_sizes: list[int] = []
-
-    def _merge(self, pre: str) -> list[int]:
-        ids = self.tokens.get(pre)
-        if ids is None:
-            word = pre.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet)
-            ids = [t.id for t in self.whole.model.tokenize(word)]
-            self.tokens[pre] = ids
-        return ids
-
-    def _learn(self, piece: str) -> int:
-        """Number of a new piece; -1 if it can't be cut off from what is around it."""
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            self.known[piece] = -1
-            return -1
-        before = len(self.new_flat)
-        for pre in self.pattern.findall(" " + piece):
-            self.new_flat += self._merge(pre)
-        self.new_sizes.append(len(self.new_flat) - before)
-        self.known[piece] = n = self.n_pieces + len(self.new_sizes) - 1
-        return n
-
-    def _store(self) -> None:
-        """Move what was learned into the arrays; they grow by doubling."""
-        flat, pieces = self.n_flat + len(self.new_flat), self.n_pieces + len(self.new_sizes)
-        if flat > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(flat, len(self.flat)), np.uint32)])
-        if pieces + 1 > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros(max(pieces, len(self.starts)), np.int64)])
-        self.flat[self.n_flat : flat] = self.new_flat
-        self.starts[self.n_pieces + 1 : pieces + 1] = self.n_flat + np.cumsum(self.new_sizes)
-        self.n_flat, self.n_pieces = flat, pieces
-        self.new_flat.clear()
-        self.new_sizes.clear()
+        alphabet = _byte_alphabet()
+        self.alphabet = "".join(alphabet[b] for b in range(256))
+        self.merged: dict[str, bytes] = {}
+
+    def _merge(self, pre: str) -> bytes:
+        raw = self.merged.get(pre)
+        if raw is None:
+            word = charmap_decode(pre.encode("utf-8", "surrogatepass"), "strict", self.alphabet)[0]
+            raw = self.merged[pre] = array(self.form, [t.id for t in self.model.tokenize(word)]).tobytes()
+        return raw
+
+    def __missing__(self, piece: str) -> bytes | None:
+        if piece.isalpha():  # letters only: the pattern takes them whole
+            raw = self._merge(" " + piece)
+        elif not piece or piece[0].isspace() or piece[-1].isspace():
+            raw = None
+        elif piece[-1] in ",." and piece[:-1].isalpha():
+            raw = self._merge(" " + piece[:-1]) + self._merge(piece[-1])
+        else:
+            raw = b"".join(map(self._merge, self.pattern.findall(" " + piece)))
+        self[piece] = raw
+        return raw
 
     def ids(self, text: str | None) -> np.ndarray:
         """Token ids (uint32) of a whole text; none for null or empty text."""
         if not text:
             return np.empty(0, np.uint32)
-        if len(self.known) > MEMORY_PIECES:
-            self._forget()
-        pieces = text.split(" ")
-        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        at[0] = 0  # the first piece has no space before it
-        if at.min() < 0 or pieces[0][:1].isspace() or pieces[0][-1:].isspace() or not pieces[0]:
+        if len(self) + len(self.merged) > MEMORY_PIECES:
+            self.clear()
+            self.merged.clear()
+        head, *pieces = text.split(" ")
+        try:
+            if not head or head[0].isspace() or head[-1].isspace():
+                raise TypeError
+            raw = b"".join([*map(self._merge, self.pattern.findall(head)), *map(self.__getitem__, pieces)])
+        except TypeError:  # a None among the pieces
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        first = [i for pre in self.pattern.findall(pieces[0]) for i in self._merge(pre)]
-        at = at[1:]
-        if not len(at):
-            return np.array(first, np.uint32)
-        if self.new_sizes:
-            self._store()
-        flat, starts = self.flat, self.starts
-        begin = starts[at]
-        size = starts[at + 1] - begin
-        out = np.empty(len(first) + int(size.sum()), np.uint32)
-        out[: len(first)] = first
-        shift = np.cumsum(size)
-        where = np.arange(int(shift[-1])) + np.repeat(begin - (shift - size), size)
-        out[len(first) :] = flat[where]
-        return out
+        return np.frombuffer(raw, f"={self.form}").astype(np.uint32)
 
 
 def crc(ids: np.ndarray) -> int:
