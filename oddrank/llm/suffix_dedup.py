@@ -157,6 +157,9 @@ def _find_repeats(table: pa.Table, length: int) -> pa.Table:
     text_of[order] = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(order))))
     spans: list[np.ndarray] = [np.empty((0, 2), np.int64)] * len(begins)
     group = np.flatnonzero(np.concatenate([[True], k[begins][1:] != k[begins][:-1], [True]]))
+    shared = _candidates(bodies, at, sizes, sample, length)
+    for i in np.flatnonzero(~shared & (weight > 1)):
+        spans[i] = np.array([[0, sizes[sample[i]]]])  # a leaf of the tree that stands for several texts
     batch: list[int] = []
     held = 0
 
@@ -169,13 +172,10 @@ def _find_repeats(table: pa.Table, length: int) -> pa.Table:
         batch.clear()
         held = 0
 
-    for lo, hi in zip(group[:-1], group[1:], strict=True):
-        run = sample[lo]
-        if hi - lo == 1 and weight[lo] > 1 and sizes[run] >= length:
-            spans[lo] = np.array([[0, sizes[run]]])  # a leaf of the tree that stands for several texts
-            continue
-        batch.extend(range(lo, hi))
-        held += int(sizes[sample[lo:hi]].sum())
+    for lo, hi in zip(group[:-1].tolist(), group[1:].tolist(), strict=True):
+        own = [i for i in range(lo, hi) if shared[i]]
+        batch.extend(own)
+        held += int(sizes[sample[own]].sum())
         if held >= ARRAY_BYTES:
             scan()
     if batch:
@@ -190,6 +190,22 @@ def _find_repeats(table: pa.Table, length: int) -> pa.Table:
     return exchange.packed(rows, names)
 
 
+def _candidates(bodies: np.ndarray, at: np.ndarray, sizes: np.ndarray, sample: np.ndarray, length: int) -> np.ndarray:
+    """Which of the different runs have a string whose hash recurs; the others need no suffix array."""
+    own = sizes[sample]
+    ends = np.cumsum(own)
+    where = np.arange(ends[-1]) - np.repeat(ends - own, own)
+    flat = bodies[np.repeat(at[sample], own) + where]
+    starts = np.flatnonzero(where + length <= np.repeat(own, own))
+    hashes = words.Runs(flat.astype(np.uint64) + np.uint64(1)).of(length, starts)
+    order = np.argsort(hashes)
+    same = hashes[order][1:] == hashes[order][:-1]
+    again = starts[order[np.append(same, False) | np.insert(same, 0, False)]]
+    found = np.zeros(len(sample), bool)
+    found[np.searchsorted(ends, again, "right")] = True
+    return found
+
+
 def _cut(table: pa.Table, answers: pa.Table, length: int, with_text: bool) -> pa.Table:
     content = exchange.joined(answers, "contents", "<u8")[0]
     begin = exchange.joined(answers, "begins", "<u4")[0].astype(np.int64)

@@ -16,50 +16,54 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
     padded[:n] = symbols
     key = np.zeros(n, np.uint64)
     for i in range(7):
-        key = (key << np.uint64(9)) | padded[i : i + n]
+        key <<= np.uint64(9)
+        key |= padded[i : i + n]
+    del padded
     length = 7
-    order = np.argsort(key, kind="stable")
     while True:
-        new = np.concatenate([[0], (key[order][1:] != key[order][:-1]).astype(np.int64)]) if n else np.empty(0, np.int64)
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(new) + 1
-        if length >= depth or not n or int(new.sum()) == n - 1:
+        order = np.argsort(key, kind="stable")
+        there = key[order]
+        names = np.cumsum(np.concatenate([[1], there[1:] != there[:-1]]), dtype=np.uint32) if n else np.empty(0, np.uint32)
+        if length >= depth or not n or names[-1] == n:
             return order
-        second = np.zeros(n, np.uint64)
+        rank = np.empty(n, np.uint32)
+        rank[order] = names
+        del there, names, order
+        key = rank.astype(np.uint64) << np.uint64(32)
         if length < n:
-            second[: n - length] = rank[length:]
-        key = (rank << np.uint64(32)) | second
-        order = np.argsort(key, kind="stable")
+            key[: n - length] |= rank[length:]
         length *= 2
 
 
-def common_prefixes(symbols: np.ndarray, order: np.ndarray, room: np.ndarray) -> np.ndarray:
+def common_prefixes(symbols: np.ndarray, order: np.ndarray, room: np.ndarray, part: int = 1 << 15) -> np.ndarray:
     """Length of the common prefix of each suffix and the one before it in order.
 
-    ``room`` is how far each suffix reaches before its text ends.
+    ``room`` is how far each suffix counts; ``part`` bounds how many pairs are
+    compared at once.
     """
     n = len(order)
     out = np.zeros(n, np.int64)
     if n < 2:
         return out
-    a, b = order[:-1].astype(np.int64), order[1:].astype(np.int64)
     most = np.minimum(room[order[:-1]], room[order[1:]])
-    got = np.zeros(n - 1, np.int64)
-    going = np.arange(n - 1)
     width = 64
     padded = np.concatenate([symbols, np.zeros(width, symbols.dtype)])
     windows = np.lib.stride_tricks.sliding_window_view(padded, width)
-    while len(going):
-        same = windows[a[going] + got[going]] == windows[b[going] + got[going]]
-        full = same.all(axis=1)
-        step = np.where(full, width, same.argmin(axis=1))
-        got[going] = np.minimum(got[going] + step, most[going])
-        going = going[full & (got[going] < most[going])]
+    got = np.zeros(n - 1, np.int64)
+    for lo in range(0, n - 1, part):
+        going = np.arange(lo, min(lo + part, n - 1))
+        while len(going):
+            at = got[going]
+            same = windows[order[going] + at] == windows[order[going + 1] + at]
+            full = same.all(axis=1)
+            step = np.where(full, width, same.argmin(axis=1))
+            got[going] = np.minimum(at + step, most[going])
+            going = going[full & (got[going] < most[going])]
     out[1:] = got
     return out
 
 
-def intervals(prefixes: list[int], left: list[int], least: int):
+def intervals(prefixes: list[int], left: list[int], least: int, most: int | None = None):
     """Scan the suffixes in order with a stack; yield the maximal repeats.
 
     A repeat is (length, first, last): suffixes ``first``..``last`` in order all
@@ -79,7 +83,7 @@ def intervals(prefixes: list[int], left: list[int], least: int):
             length, begun, seen = stack.pop()
             symbol = symbol if symbol == seen else -1
             first = begun
-            if symbol < 0:
+            if symbol < 0 or length == most:
                 yield length, first, i - 1
         if stack and stack[-1][0] == shared:
             length, begun, seen = stack[-1]
@@ -89,6 +93,10 @@ def intervals(prefixes: list[int], left: list[int], least: int):
             stack.append((shared, first, symbol))
 
 
+#: Bytes to which suffixes are compared at least.
+DEPTH = 448
+
+
 def cover(repeats, lengths: np.ndarray) -> np.ndarray:
     """For each suffix the length of the longest repeat it is in; ``lengths`` is a start.
 
@@ -133,7 +141,9 @@ def repeated_spans(
     symbols[begins + sizes] = 0
     text = np.repeat(np.arange(len(texts)), sizes + 1)
     room = begins[text] + sizes[text] - np.arange(len(symbols))
-    order = suffix_array(symbols, int(sizes.max()) + 1)
+    most = max(DEPTH, 2 * least)  # a longer repeat is a chain of these, which cover the same bytes
+    np.minimum(room, most, out=room)
+    order = suffix_array(symbols, most)
     order = order[room[order] >= least]  # the others begin no such repeat, and lie in no such group
     prefixes = common_prefixes(symbols, order, room)
     # whole texts that stand for several are repeats of their own
@@ -143,8 +153,8 @@ def repeated_spans(
     busy = near | np.append(near[1:], False) | alone
     order, prefixes, alone = order[busy], np.where(near, prefixes, 0)[busy], alone[busy]
     left = np.where(order == begins[text[order]], -1, symbols[order - 1].astype(np.int64))
-    found = list(intervals(prefixes.tolist(), left.tolist(), least))
-    length = cover(found, np.where(alone, room[order], 0))
+    found = list(intervals(prefixes.tolist(), left.tolist(), least, most))
+    length = cover(found, np.where(alone, sizes[text[order]], 0))
     edge = np.zeros(len(symbols) + 1, np.int64)
     np.add.at(edge, order[length > 0], 1)
     np.add.at(edge, (order + length)[length > 0], -1)
