@@ -49,14 +49,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete an intermediate table whose readers are done."""
-    jvm = spark.sparkContext._jvm
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(hadoop).delete(where, True)
-
-
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores put before it until no column has it."""
     taken = {c.lower() for c in df.columns}

@@ -11,41 +11,30 @@ from oddrank.llm import common
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): the smallest node reachable, for every node of an edge.
 
-    Each round a node takes the least label around it and then that label's own
-    label (pointer jumping), so labels travel twice as far every round; the state
-    of each round is a table in the shared folder. Only counters reach the driver.
+    By contraction: each round a node goes to the least node around it, and on to
+    where that one goes; the edges are renamed, and those inside one name or said
+    twice fall away. So the graph shrinks from round to round, and a group of
+    many edges is read in full only once. The state of a round is a table in the
+    shared folder; only a counter reaches the driver.
     """
-    spark = edges.sparkSession
-    pairs = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    both = pairs.select(F.col(a).alias("src"), F.col(b).alias("dst")).unionByName(
-        pairs.select(F.col(b).alias("src"), F.col(a).alias("dst"))
-    )
-    # the first round needs no state: every label is the node itself
-    state = common.written(
-        both.groupBy("src").agg(F.min("dst").alias("least")).select(
-            F.col("src").alias("node"), F.least("src", "least").alias("label")
-        ),
-        "labels",
-    )
-    links = common.written(both.distinct(), "links")
-    while True:
-        around = (
-            links.join(state.withColumnRenamed("node", "dst"), "dst")
-            .groupBy("src")
-            .agg(F.min("label").alias("least"))
-            .withColumnRenamed("src", "node")
-        )
-        near = state.join(around, "node").select(
-            "node", F.col("label").alias("was"), F.least("label", "least").alias("label")
-        )
-        jump = state.select(F.col("node").alias("label"), F.col("label").alias("further"))
+    ends = [F.col(a).alias("a"), F.col(b).alias("b")]
+    left = common.written(edges.select(*ends).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct(), "edges")
+    known: DataFrame | None = None
+    while known is None or left.limit(1).count():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"))
+        further = near.select(F.col("a").alias("to"), F.col("to").alias("then"))
         moved = common.written(
-            near.join(jump, "label", "left").select(
-                "node", F.least("label", F.coalesce("further", "label")).alias("label"), "was"
-            ),
-            "labels",
+            near.join(further, "to", "left").select("a", F.coalesce("then", "to").alias("to")), "moves"
         )
-        changed = moved.where("label <> was").limit(1).count()
-        state = moved.select("node", "label")
-        if not changed:
-            return state
+        if known is None:
+            known = moved.select(F.col("a").alias("node"), F.col("to").alias("label"))
+        else:
+            step = moved.select(F.col("a").alias("label"), "to")
+            known = common.written(
+                known.join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels"
+            )
+        half = left.join(moved, "a").select(F.col("to").alias("x"), "b")
+        renamed = half.join(moved.select(F.col("a").alias("b"), "to"), "b").select(F.col("x").alias("a"), F.col("to").alias("b"))
+        left = common.written(renamed.where("a <> b").distinct(), "edges")
+    return known
