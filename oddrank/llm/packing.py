@@ -113,29 +113,42 @@ def inverse_frequency(frequency: np.ndarray, n: int) -> np.ndarray:
 
 
 class Shard:
-    """An inverted index over the tails of one block."""
+    """An inverted index over the tails of one block.
+
+    Terms in at least one of eight tails are kept as dense rows, the others as
+    lists of (tail, weight); a query adds up the rows and lists of its terms.
+    """
 
     def __init__(self, arrays: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
         n = self.n = len(arrays)
         sizes = np.array([len(a) for a in arrays])
         flat = np.concatenate(arrays).astype(np.int64)
         keys, tf = np.unique(flat * n + np.repeat(np.arange(n), sizes), return_counts=True)
-        term, self.doc = keys // n, (keys % n).astype(np.int32)
-        terms, self.first, counts = np.unique(term, return_index=True, return_counts=True)
-        self.count = counts
-        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.doc] / max(mean, 1e-9)))
-        self.weight = weight * idf[term]
-        by_doc = np.argsort(self.doc, kind="stable")
-        self.row = np.repeat(np.arange(len(terms)), counts)[by_doc]
-        self.begin = np.concatenate([[0], np.cumsum(np.bincount(self.doc, minlength=n))])
+        term, doc = keys // n, (keys % n).astype(np.int32)
+        terms, first, count = np.unique(term, return_index=True, return_counts=True)
+        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / max(mean, 1e-9))) * idf[term]
+        often = count * 8 >= n
+        place = np.where(often, np.cumsum(often) - 1, np.cumsum(~often) - 1)
+        row = np.repeat(np.arange(len(terms)), count)
+        dense = often[row]
+        self.rows = np.zeros((int(often.sum()), n), np.float32)
+        self.rows[place[row[dense]], doc[dense]] = weight[dense]
+        ends = (first + count)[~often].tolist()
+        self.lists = [(doc[a:b], weight[a:b]) for a, b in zip(first[~often].tolist(), ends, strict=True)]
+        by_doc = np.argsort(doc, kind="stable")
+        self.term_row, self.term_often = place[row[by_doc]], often[row[by_doc]]
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))])
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every tail for all distinct terms of the seed."""
-        rows = self.row[self.begin[seed] : self.begin[seed + 1]]
-        size = self.count[rows]
-        ends = np.cumsum(size)
-        at = np.arange(ends[-1]) + np.repeat(self.first[rows] - (ends - size), size)
-        return np.bincount(self.doc[at], self.weight[at], self.n)
+        own = slice(self.begin[seed], self.begin[seed + 1])
+        rows, often = self.term_row[own], self.term_often[own]
+        out = self.rows[rows[often]].sum(axis=0, dtype=np.float64)
+        lists = [self.lists[i] for i in rows[~often].tolist()]
+        if lists:
+            docs, weights = zip(*lists, strict=True)
+            out += np.bincount(np.concatenate(docs), np.concatenate(weights), self.n)
+        return out
 
 
 def fill_windows(arrays: list[np.ndarray], idf: np.ndarray, mean: float, window: int, opened: list) -> Iterator[list]:
