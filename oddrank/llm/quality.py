@@ -15,6 +15,7 @@ bucket.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,19 +40,19 @@ MEMORY_WORDS = 200_000
 REPEATED = 1
 
 
-def _word_features(word: str) -> list[int]:
+def _word_features(word: str) -> array:
     padded = f"<{word}>"
     grams = [padded[i : i + n] for n in NGRAMS for i in range(len(padded) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in (f"w:{word}", *grams)]
+    return array("i", [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in (f"w:{word}", *grams)])
 
 
 class Words(dict):
-    """Word -> its number; features of the numbered words are kept in lists."""
+    """Word -> its number; features of the numbered words are kept in arrays."""
 
     def __init__(self) -> None:
         super().__init__()
         self.hashes: list[int] = []
-        self.features: list[list[int]] = []
+        self.features: list[array] = []
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self.hashes)
@@ -72,11 +73,11 @@ def document_features(text: str | None, words: Words) -> tuple[np.ndarray, np.nd
     """Distinct buckets of a whole text and how often each occurs."""
     rows = [words[w] for w in (text or "").split()]
     if not rows:
-        return np.empty(0, np.int64), np.empty(0)
-    flat = [f for r in rows for f in words.features[r]]
+        return np.empty(0, np.int32), np.empty(0, np.float32)
+    flat = np.frombuffer(b"".join([words.features[r] for r in rows]), np.int32)
     pairs = pair_features(np.array([words.hashes[r] for r in rows], np.uint64))
-    found, n = np.unique(np.concatenate([np.array(flat, np.int64), pairs]), return_counts=True)
-    return found, n.astype(np.float64)
+    found, n = np.unique(np.concatenate([flat, pairs.astype(np.int32)]), return_counts=True)
+    return found, n.astype(np.float32)
 
 
 @dataclass
@@ -97,7 +98,12 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rate
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS), 0.0 if not len(y) else (20.0 if y[0] == 1 else -20.0))
     words = Words()
-    docs = [document_features(t, words) for t in texts]
+    docs = []
+    for text in texts:
+        if len(words) > MEMORY_WORDS:
+            words = Words()
+        docs.append(document_features(text, words))
+    words = Words()
     rng = np.random.default_rng(SEED)
     table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     out, bias = np.zeros((2, DIM)), np.zeros(2)
@@ -145,7 +151,7 @@ class Scorer:
             self.hashes = np.concatenate([self.hashes, np.zeros(more, np.uint64)])
         new = self.words.features[self.known :]
         sizes = np.array([len(f) for f in new])
-        flat = np.array([x for f in new for x in f], np.int64)
+        flat = np.frombuffer(b"".join(new), np.int32)
         self.sums[self.known : n] = np.add.reduceat(self.model.weights[flat], np.cumsum(sizes) - sizes)
         self.sizes[self.known : n] = sizes
         self.hashes[self.known : n] = self.words.hashes[self.known :]
@@ -183,7 +189,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", train_do
         labels.select("doc_id", F.col(label_col).cast("int").alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
     )
-    drawn = usable.orderBy(F.xxhash64("doc_id", "label"), "doc_id").limit(train_docs)
+    share = min(1.0, train_docs / max(1, usable.count()))
+    place = F.xxhash64("doc_id", "label")
+    # drawn by hash first, so that no task sends more than its share
+    drawn = usable.where(place <= F.lit(min(int(share * 2**64) - 2**63, 2**63 - 1))).orderBy(place, "doc_id").limit(train_docs)
     joined = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
     texts, values, chars = [], [], 0
     for row in joined.select("doc_id", "text", "label").orderBy("doc_id", "label", "text").toLocalIterator():
