@@ -157,7 +157,12 @@ def _find_repeats(table: pa.Table, length: int) -> pa.Table:
     text_of[order] = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(order))))
     spans: list[np.ndarray] = [np.empty((0, 2), np.int64)] * len(begins)
     group = np.flatnonzero(np.concatenate([[True], k[begins][1:] != k[begins][:-1], [True]]))
-    shared = _candidates(bodies, at, sizes, sample, length)
+    shared = np.zeros(len(sample), bool)
+    begun, filled = 0, np.concatenate([[0], np.cumsum(sizes[sample])])
+    for end in group[1:].tolist():  # whole groups, about ARRAY_BYTES at once
+        if filled[end] - filled[begun] >= ARRAY_BYTES or end == len(sample):
+            shared[begun:end] = _candidates(bodies, at, sizes, sample[begun:end], length)
+            begun = end
     for i in np.flatnonzero(~shared & (weight > 1)):
         spans[i] = np.array([[0, sizes[sample[i]]]])  # a leaf of the tree that stands for several texts
     batch: list[int] = []
