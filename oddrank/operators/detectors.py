@@ -1,33 +1,53 @@
 """Detectors: each has ``fit(df, features, seed) -> model``; a model scores by
 Column expressions or one Arrow batch at a time, higher = odder.
 
-Models train on a bounded sample drawn by hash (documented caps) and score
-every row. They are plain data (lists and numbers) and go to JSON.
+Models train on at most ``CAPS`` rows drawn by hash (the configuration may set
+other caps) and score every row. They are plain data and go to JSON.
 """
 
 from __future__ import annotations
 
 import math
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddrank.operators import ranks
 
 FLOOR = 1e-10
-
-
-def sample(df: DataFrame, row_id: str, cap: int, seed: int) -> DataFrame:
-    """At most ``cap`` rows, the same ones whatever the partitioning."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(row_id)), row_id).limit(cap)
-
-
-def matrix(df: DataFrame, features: list[str]) -> np.ndarray:
-    return df.select(*[F.col(f"`{f}`").cast("double").alias(str(i)) for i, f in enumerate(features)]).toPandas().to_numpy(float)
+#: Rows that silhouettes are taken of, as in the reference.
+SILHOUETTE_ROWS = 20_000
+#: Numbers of kernel columns that are kept while a one-class SVM is fitted.
+KERNEL_NUMBERS = 25_000_000
+
+
+def training_matrix(df: DataFrame, row_id: str, features: list[str], cap: int, seed: int) -> np.ndarray:
+    """At most ``cap`` rows (all if it is 0) in the order of their hash: the same ones whatever the partitioning.
+
+    Rows over the wanted share of the hash's range stay where they are, so that
+    no task sorts the whole table; the rest is ordered and cut on the driver.
+    """
+    place = F.xxhash64(F.lit(seed), F.col(row_id))
+    src = df.select(
+        place.alias("place"), F.col(row_id).alias("id"), *[F.col(f"`{f}`").cast("double").alias(str(i)) for i, f in enumerate(features)]
+    )
+    rows = df.count() if cap else 0
+    share = (cap + 6 * math.sqrt(cap)) / rows if rows > cap else 1.0
+    found = None
+    while found is None or found.num_rows < min(cap, rows) and share < 1:  # six deviations short: hardly ever
+        share = share if found is None else 2 * share
+        found = (src.where(F.col("place") <= F.lit(int(share * 2**64) - 2**63)) if share < 1 else src).toArrow()
+    order = pa.compute.sort_indices(found, [("place", "ascending"), ("id", "ascending")])
+    if cap:
+        order = order[:cap]
+    return np.column_stack([found.column(str(i)).take(order).to_numpy() for i in range(len(features))]).astype(float)
 
 
 def unpivot(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
@@ -241,19 +261,25 @@ class KMeansDistance(BatchModel):
     @classmethod
     def _cluster(cls, x: np.ndarray, k: int, rng: np.random.Generator, tries: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
         best = None
+        still = 1e-4 * float(x.var(0).mean())  # the reference's tolerance of the centres' shift
         for _ in range(tries):
             c = [x[rng.integers(len(x))]]
+            d = np.full(len(x), np.inf)
             while len(c) < k:  # k-means++ seeding
-                d = cls._distances(x, np.array(c)).min(1) ** 2
+                d = np.minimum(d, cls._distances(x, c[-1][None, :])[:, 0] ** 2)
                 c.append(x[rng.choice(len(x), p=d / d.sum())] if d.sum() > 0 else x[rng.integers(len(x))])
             c = np.array(c)
-            for _ in range(50):
-                own = cls._distances(x, c).argmin(1)
-                new = np.array([x[own == j].mean(0) if (own == j).any() else c[j] for j in range(k)])
-                if np.allclose(new, c):
-                    break
+            for _ in range(300):
+                own = ((c * c).sum(1)[None, :] - 2 * x @ c.T).argmin(1)
+                sizes = np.bincount(own, minlength=k)
+                sums = np.stack([np.bincount(own, x[:, f], k) for f in range(x.shape[1])], 1)
+                new = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], c)
+                shift = float(((new - c) ** 2).sum())
                 c = new
-            cost = float((cls._distances(x, c).min(1) ** 2).sum())
+                if shift <= still:
+                    break
+            d = cls._distances(x, c)
+            own, cost = d.argmin(1), float((d.min(1) ** 2).sum())
             if best is None or cost < best[2]:
                 best = (c, own, cost)
         return best  # type: ignore[return-value]
@@ -267,26 +293,37 @@ class KMeansDistance(BatchModel):
         ks = list(range(2, min(most, len(x) - 1) + 1))
         if len(ks) < 2:
             return ks[0] if ks else 1
-        part = x[rng.choice(len(x), min(len(x), 2000), replace=False)]
-        costs, quality = [], []
+        part = rng.choice(len(x), SILHOUETTE_ROWS, replace=False) if len(x) > SILHOUETTE_ROWS else np.arange(len(x))
+        costs, owns = [], []
         for k in ks:
-            c, own, cost = cls._cluster(part, k, rng, 1)
+            _, own, cost = cls._cluster(x, k, rng, 1)
             costs.append(cost)
-            quality.append(cls._silhouette(part[:500], own[:500]))
+            owns.append(own[part])
+        quality = cls._silhouettes(x[part], owns)
         line = np.interp(ks, [ks[0], ks[-1]], [costs[0], costs[-1]])
         elbow, best = ks[int((line - costs).argmax())], ks[int(np.argmax(quality))]
         return round((elbow + best) / 2)
 
     @classmethod
-    def _silhouette(cls, x: np.ndarray, own: np.ndarray) -> float:
-        d = cls._distances(x, x)
-        names = np.unique(own)
-        if len(names) < 2:
-            return -1.0
-        means = np.stack([d[:, own == j].sum(1) / np.maximum((own == j).sum() - (own == j), 1) for j in names], 1)
-        mine = means[np.arange(len(x)), np.searchsorted(names, own)]
-        others = np.where(names[None, :] == own[:, None], np.inf, means).min(1)
-        return float(((others - mine) / np.maximum(np.maximum(mine, others), 1e-12)).mean())
+    def _silhouettes(cls, x: np.ndarray, owns: list[np.ndarray]) -> list[float]:
+        """Mean silhouette of each labelling, all from one pass over blocks of distances."""
+        labels = [np.unique(own, return_inverse=True)[1] for own in owns]
+        sizes = [np.bincount(own) for own in labels]
+        ones = [np.eye(len(n))[own] for own, n in zip(labels, sizes, strict=True)]
+        totals = [0.0] * len(owns)
+        for begin in range(0, len(x), 500):
+            rows = np.arange(begin, min(begin + 500, len(x)))
+            d = cls._distances(x[rows], x)
+            d[rows - begin, rows] = 0
+            for i, (own, n) in enumerate(zip(labels, sizes, strict=True)):
+                mine_is = np.arange(len(n))[None, :] == own[rows][:, None]
+                means = d @ ones[i] / np.maximum(n[None, :] - mine_is, 1)
+                mine, others = means[mine_is], np.where(mine_is, np.inf, means).min(1)
+                if len(n) > 1:
+                    # a row that is alone in its cluster counts as 0
+                    s = (others - mine) / np.maximum(np.maximum(mine, others), 1e-12)
+                    totals[i] += float(np.where(n[own[rows]] > 1, s, 0.0).sum())
+        return [t / len(x) if len(n) > 1 else -1.0 for t, n in zip(totals, sizes, strict=True)]
 
     @classmethod
     def fit(cls, x: np.ndarray, features: list[str], seed: int, coverage: float = 0.9) -> KMeansDistance:
@@ -306,7 +343,7 @@ class KMeansDistance(BatchModel):
 
 @dataclass
 class OneClassSVM(BatchModel):
-    """RBF kernel; the dual is solved by projected pairwise steps on a capped sample."""
+    """RBF kernel; the dual is solved by pairwise steps, kernel columns are made as they are needed."""
 
     features: list[str]
     vectors: list[list[float]]
@@ -317,28 +354,43 @@ class OneClassSVM(BatchModel):
     name = "one_class_svm"
 
     @classmethod
-    def fit(cls, x: np.ndarray, features: list[str], seed: int, nu: float = 0.1, cap: int = 2000) -> OneClassSVM:
-        rng = np.random.default_rng(seed)
-        if len(x) > cap:
-            x = x[rng.choice(len(x), cap, replace=False)]
+    def fit(cls, x: np.ndarray, features: list[str], seed: int, nu: float = 0.1) -> OneClassSVM:
         variance = x.var()
         gamma = 1.0 / (x.shape[1] * variance) if variance > 0 else 1.0
-        k = cls._kernel(x, x, gamma)
         n, top = len(x), 1.0 / max(nu * len(x), 1.0)
         a = np.zeros(n)
         a[: int(1 / top)] = top
         if a.sum() < 1:
             a[min(int(1 / top), n - 1)] += 1 - a.sum()
-        g = k @ a
-        for _ in range(50 * n):  # the most violating pair
-            up, down = np.where(a < top - 1e-15, g, np.inf), np.where(a > 1e-15, g, -np.inf)
-            i, j = int(up.argmin()), int(down.argmax())
-            if g[j] - g[i] < 1e-6:
+        first = np.flatnonzero(a)
+        g = np.zeros(n)
+        for begin in range(0, len(first), 256):
+            at = first[begin : begin + 256]
+            g += cls._kernel(x, x[at], gamma) @ a[at]
+        columns: OrderedDict[int, np.ndarray] = OrderedDict()
+
+        def column(i: int) -> np.ndarray:
+            if i in columns:
+                columns.move_to_end(i)
+            else:
+                columns[i] = cls._kernel(x, x[i : i + 1], gamma)[:, 0]
+                if len(columns) > max(2, KERNEL_NUMBERS // n):
+                    columns.popitem(last=False)
+            return columns[i]
+
+        tolerance = min(1e-6, 1e-3 * top)  # a thousandth of a vector's full weight
+        for _ in range(50 * n):
+            # the most violating row gains, the row that lowers the objective most gives
+            i = int(np.where(a < top - 1e-15, g, np.inf).argmin())
+            k_i = column(i)
+            gap = np.where(a > 1e-15, g - g[i], -np.inf)
+            if gap.max() < tolerance:
                 break
-            step = min((g[j] - g[i]) / max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12), top - a[i], a[j])
+            j = int(np.where(gap > 0, gap * gap / np.maximum(2 - 2 * k_i, 1e-12), -1.0).argmax())
+            step = min(gap[j] / max(2 - 2 * k_i[j], 1e-12), top - a[i], a[j])
             a[i] += step
             a[j] -= step
-            g += step * (k[:, i] - k[:, j])
+            g += step * (k_i - column(j))
         free = (a > 1e-12) & (a < top - 1e-12)
         rho = float(g[free].mean()) if free.any() else float((g[a > 1e-12].max() + g[a <= 1e-12].min()) / 2 if (a <= 1e-12).any() else g.max())
         held = a > 1e-12
@@ -366,10 +418,7 @@ class LocalOutlierFactor(BatchModel):
     name = "lof"
 
     @classmethod
-    def fit(cls, x: np.ndarray, features: list[str], seed: int, k: int = 20, cap: int = 5000) -> LocalOutlierFactor:
-        rng = np.random.default_rng(seed)
-        if len(x) > cap:
-            x = x[rng.choice(len(x), cap, replace=False)]
+    def fit(cls, x: np.ndarray, features: list[str], seed: int, k: int = 20) -> LocalOutlierFactor:
         k = max(1, min(k, len(x) - 1))
         d, at = cls._near(x, x, k, skip_self=True)
         reach = np.maximum(d, d[:, -1][at])
@@ -379,11 +428,12 @@ class LocalOutlierFactor(BatchModel):
     @staticmethod
     def _near(x: np.ndarray, points: np.ndarray, k: int, skip_self: bool = False) -> tuple[np.ndarray, np.ndarray]:
         ds, ats = [], []
-        for begin in range(0, len(x), 1000):
-            d = KMeansDistance._distances(x[begin : begin + 1000], points)
+        for begin in range(0, len(x), 200):
+            d = KMeansDistance._distances(x[begin : begin + 200], points)
             if skip_self:
                 d[np.arange(len(d)), begin + np.arange(len(d))] = np.inf
-            at = np.argsort(d, axis=1, kind="stable")[:, :k]
+            at = np.sort(np.argpartition(d, k - 1, axis=1)[:, :k], axis=1)
+            at = np.take_along_axis(at, np.argsort(np.take_along_axis(d, at, 1), axis=1, kind="stable"), 1)
             ds.append(np.take_along_axis(d, at, 1))
             ats.append(at)
         return np.concatenate(ds), np.concatenate(ats)
@@ -396,10 +446,10 @@ class LocalOutlierFactor(BatchModel):
 
 
 REGISTRY: dict[str, type] = {}
-#: Rows that each detector trains on at most.
+#: Rows that each detector trains on at most, as in the reference; ``scoring.train_row_caps`` sets others.
 CAPS = {"isolation_forest": 250_000, "kmeans_distance": 200_000, "one_class_svm": 25_000, "lof": 50_000}
-#: Of these, rows collected to the driver: these learners need no more.
-DRIVER_ROWS = 20_000
+#: Cap of a registered detector that has none of its own.
+OTHER_CAP = 200_000
 
 
 def register(kind: type) -> type:
@@ -415,6 +465,9 @@ for _kind in (IsolationForest, KMeansDistance, OneClassSVM, LocalOutlierFactor):
     register(_kind)
 
 
-def fit_detector(name: str, df: DataFrame, row_id: str, features: list[str], seed: int = 42, **params) -> BatchModel:
-    cap = min(CAPS.get(name, DRIVER_ROWS), DRIVER_ROWS)
-    return REGISTRY[name].fit(matrix(sample(df, row_id, cap, seed), features), features, seed, **params)
+def fit_detector(
+    name: str, df: DataFrame, row_id: str, features: list[str], seed: int = 42, cap: int | None = None, **params
+) -> BatchModel:
+    """Fit on at most ``cap`` rows (0: all of them; None: the detector's own cap)."""
+    cap = CAPS.get(name, OTHER_CAP) if cap is None else cap
+    return REGISTRY[name].fit(training_matrix(df, row_id, features, cap, seed), features, seed, **params)

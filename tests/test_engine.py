@@ -246,3 +246,35 @@ def test_streamed_scores_equal_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = {r[0]: round(r[1], 9) for r in spark.sql("SELECT __row_id, score FROM streamed").collect()}
     assert got == {r[readers.ROW_ID]: round(r.score, 9) for r in ranked.collect()}
+
+
+def test_detectors_train_on_the_whole_cap(spark, monkeypatch):
+    seen = {}
+
+    class Probe:
+        name = "probe"
+
+        def fit(x, features, seed):  # noqa: N805  called on the class
+            seen["rows"] = x
+            return "model"
+
+        score = None
+
+    monkeypatch.setitem(det.REGISTRY, "probe", Probe)
+    df = spark.range(60_000).select("id", F.col("id").cast("double").alias("x")).repartition(7)
+    assert det.fit_detector("probe", df, "id", ["x"]) == "model" and len(seen["rows"]) == 60_000
+    det.fit_detector("probe", df, "id", ["x"], cap=30_000)
+    drawn = seen["rows"][:, 0]
+    det.fit_detector("probe", df.repartition(3), "id", ["x"], cap=30_000)
+    assert len(set(drawn)) == 30_000 and (seen["rows"][:, 0] == drawn).all()
+    det.fit_detector("probe", df, "id", ["x"], cap=0)
+    assert len(seen["rows"]) == 60_000
+    with pytest.raises(ValueError, match="train_row_caps"):
+        Config.from_dict({"scoring": {"train_row_caps": {"lof": -1}}})
+
+
+def test_kernel_and_neighbour_models_cut_nothing():
+    x = np.random.default_rng(3).normal(size=(6000, 2))
+    assert len(det.LocalOutlierFactor.fit(x, ["a", "b"], 7).points) == 6000
+    svm = det.OneClassSVM.fit(x, ["a", "b"], 7)
+    assert len(svm.vectors) >= 600 and abs((svm.score(x) > 0).mean() - 0.1) < 0.01
