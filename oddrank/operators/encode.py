@@ -11,6 +11,7 @@ import math
 from collections import Counter
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ TIME_PARTS = {
     "year": F.year,
     "quarter": F.quarter,
 }
-#: Values of a frequency encoding that are written into the plan; more are joined.
+#: Values of a frequency encoding that are written into the projection; more are joined.
 MAP_VALUES = 2000
 TINY_SPREAD = 1e-12
 
@@ -52,6 +53,8 @@ class Encoding:
                 out.append((unused(f"{name}_{v}", taken), F.coalesce((c == F.lit(v)).cast("double"), F.lit(0.0))))
             other = F.coalesce((c.isNotNull() & ~c.isin(cats)).cast("double"), F.lit(0.0))
             out.append((unused(f"{name}__other", taken), other))
+        elif kind == "frequency" and len(p["frequencies"]) > MAP_VALUES:
+            out.append((f"{name}__freq", F.coalesce(F.col(f"`{self.share}`"), F.lit(0.0))))
         elif kind == "frequency":
             freq = p["frequencies"]
             pairs = [x for kv in freq.items() for x in (F.lit(kv[0]), F.lit(float(kv[1])))]
@@ -66,6 +69,11 @@ class Encoding:
             out.append((f"{name}__is_missing", c.isNull().cast("double")))
         return out
 
+    @property
+    def share(self) -> str:
+        """Column that :func:`with_stored_frequency` joins."""
+        return f"__share_{self.column}"
+
 
 def unused(name: str, taken: Counter) -> str:
     """A name that is not taken yet: ``name``, ``name__1``, ``name__2`` ..."""
@@ -114,6 +122,17 @@ def with_frequency(df: DataFrame, column: str, alias: str) -> DataFrame:
     return df.join(shares, column, "left").withColumn(alias, F.coalesce(alias, F.lit(0.0)))
 
 
+def with_stored_frequency(df: DataFrame, e: Encoding) -> DataFrame:
+    """The column's shares joined from the plan's map, if that is too long for a projection."""
+    freq = e.params.get("frequencies", {}) if e.treatment == "frequency" else {}
+    if len(freq) <= MAP_VALUES:
+        return df
+    key = f"__value_{e.column}"
+    held = pa.table({key: pa.array(freq.keys(), pa.string()), e.share: pa.array(map(float, freq.values()), pa.float64())})
+    shares = df.sparkSession.createDataFrame(held)
+    return df.join(shares, F.col(f"`{e.column}`") == F.col(f"`{key}`"), "left").drop(key)
+
+
 def demoted(widths: dict[str, int], limit: int) -> list[str]:
     """One-hot columns to encode by frequency instead: widest first, ties by order, until it fits."""
     order = sorted(widths, key=lambda c: -widths[c])

@@ -278,3 +278,16 @@ def test_kernel_and_neighbour_models_cut_nothing():
     assert len(det.LocalOutlierFactor.fit(x, ["a", "b"], 7).points) == 6000
     svm = det.OneClassSVM.fit(x, ["a", "b"], 7)
     assert len(svm.vectors) >= 600 and abs((svm.score(x) > 0).mean() - 0.1) < 0.01
+
+
+def test_long_frequency_maps_keep_every_value(spark):
+    n = encode.MAP_VALUES + 500
+    df = spark.range(3 * n).select(F.col("id").alias(readers.ROW_ID), F.concat(F.lit("v"), (F.col("id") % n).cast("string")).alias("c"))
+    cfg = Config.from_dict({"profiling": {"one_hot_max_cardinality": 5}})
+    plan = feature_plan.FeaturePlan.from_json(feature_plan.build(df, cfg).to_json())
+    assert [e.treatment for e in plan.encodings] == ["frequency"]
+    assert {r[1] for r in feature_plan.raw_features(df, plan).collect()} == {1 / n}
+    other = frame(spark, [(1, "v0"), (2, f"v{n - 1}"), (3, "never seen"), (4, None)], f"{readers.ROW_ID} long, c string")
+    got = {r[0]: r[1] for r in feature_plan.raw_features(other, plan).collect()}
+    assert got == {1: 1 / n, 2: 1 / n, 3: 0.0, 4: 0.0}
+    assert feature_plan.apply(other, plan).count() == 4
