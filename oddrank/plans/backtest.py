@@ -27,9 +27,12 @@ def backtest(df: DataFrame, labels: DataFrame, cfg: Config, replicates: int = 5,
         cut = int(share * 2**64) - 2**63
         part = df.where(F.xxhash64(F.lit(own.run.seed), ROW_ID) <= F.lit(cut))
         fitted = detection.fit(part, own)
-        raw = detection.score_all(feature_plan.apply(part, fitted.plan), fitted.models)
-        cal = detection.calibrated(raw, fitted).join(labels, ROW_ID).persist()
-        names = [f"cal_{n}" for n in fitted.models]
+        scored = [
+            (k, detection.calibrated(detection.score_all(feature_plan.apply(d, fitted.plan), f.models), f))
+            for k, d, f in detection.parts(part, fitted, own)
+        ]
+        cal = detection.together(scored).join(labels, ROW_ID).persist()
+        names = [f"cal_{n}" for n in cfg.scoring.detectors]
         for policy, how in POLICIES.items():
             scored = cal.select(scoring.combined(names, how).alias("s"), "y")
             found[policy].append(evaluate.ranking_metrics(scored, "s", "y").first()["average_precision"] or 0.0)

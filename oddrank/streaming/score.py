@@ -14,6 +14,10 @@ def scored_stream(stream: DataFrame, fitted: Fitted, cfg: Config) -> DataFrame:
     """Stateless: plan, frozen models, frozen calibrators; natural flags only."""
     if stream.isStreaming and cfg.scoring.contamination != "auto":
         raise ValueError("an exact number of flags needs a whole table")
+    return detection.together([(k, _scored_part(d, f, cfg)) for k, d, f in detection.parts(stream, fitted, cfg)])
+
+
+def _scored_part(stream: DataFrame, fitted: Fitted, cfg: Config) -> DataFrame:
     raw = detection.score_all(feature_plan.apply(stream, fitted.plan), fitted.models)
     cal = detection.calibrated(raw, fitted)
     names = list(fitted.models)

@@ -291,3 +291,27 @@ def test_long_frequency_maps_keep_every_value(spark):
     got = {r[0]: r[1] for r in feature_plan.raw_features(other, plan).collect()}
     assert got == {1: 1 / n, 2: 1 / n, 3: 0.0, 4: 0.0}
     assert feature_plan.apply(other, plan).count() == 4
+
+
+def test_groups_are_fitted_cut_and_ranked_by_themselves(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, "big" if i < 300 else "small" if i < 420 else "tiny", float(v)) for i, v in enumerate(rng.normal(size=430))]
+    rows = [(i, g, v if g == "big" else v / 100 + (3 if i == 419 else 0)) for i, g, v in rows]  # odd in its group only
+    df = readers.with_row_id(frame(spark, rows, "id long, g string, x double"), id_column="id")
+    cfg = Config.from_dict({"columns": {"id_column": "id", "group_by": ["g"]}, "scoring": {"detectors": ["kmeans_distance"], "contamination": 0.01}})
+    fitted, ranked = detection.run_detection(df, cfg)
+    assert sorted(fitted.manifest["too_few_records"].values()) == [10] and len(fitted.groups) == 2
+    got = ranked.collect()
+    flagged = {r[readers.ROW_ID]: r.flag_rank for r in got if r.flagged}
+    assert len(got) == 420 and flagged[419] == 1 and sorted(flagged.values()) == [1, 1, 2, 3]
+    again = detection.score_forward(df, detection.Fitted.from_json(fitted.to_json()), cfg).where("flagged").collect()
+    assert {r[readers.ROW_ID]: r.flag_rank for r in again} == flagged
+
+
+def test_composites_leave_bad_members_out(spark, monkeypatch):
+    rows = [(i, float(i % 17), float(i % 23)) for i in range(120)]
+    df = frame(spark, rows, "__row_id long, a double, b double")
+    monkeypatch.setattr(scoring, "bad_members", lambda d, cols, row_id: ["cal_lof"])
+    names = ["isolation_forest", "kmeans_distance", "lof"]
+    fitted = detection.fit(df, Config.from_dict({"scoring": {"detectors": names, "combination": "composite"}}))
+    assert fitted.dropped == ["lof"] and fitted.weights == [0.5, 0.5, 0.0]
