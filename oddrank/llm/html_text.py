@@ -50,6 +50,8 @@ MARKS = frozenset(
     "reply responses search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar "
     "topbar widget widgets".split()
 )
+#: Containers of comments and of other articles' teasers: an article or main element in them is part of them.
+CLOSED = frozenset("comment comments disqus promoted related replies reply responses sponsored".split())
 #: Blocks under so many characters are left to the second pass.
 SHORT = 70
 #: Share of a block's characters inside links above which it is boilerplate.
@@ -62,7 +64,9 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_WORDS = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[a-z]+")
+#: A first word that says what a name with a mark at its end has, lacks or lays out around itself.
+_ABOUT = frozenset("has have is no not non with without hide hidden show toggle uses".split())
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -75,17 +79,23 @@ class Block:
     content: bool | None = None
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str, marks: frozenset[str] = MARKS) -> bool:
+    """Whether a name in class, id or role is a mark, or starts or ends with one as a term of its own.
+
+    ``ad-slot`` and ``left-sidebar`` are marks, ``has-sidebar`` and ``no-comments`` are about something else.
+    """
     for _, a, b, c in _NAMED.findall(attributes):
-        if not MARKS.isdisjoint(_WORDS.findall((a or b or c).lower())):
-            return True
+        for name in (a or b or c).lower().split():
+            parts = _PARTS.findall(name)
+            if parts and parts[0] not in _ABOUT and (parts[0] in marks or parts[-1] in marks):
+                return True
     return False
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, with white space folded; empty ones left out."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, dropped, in the article
+    stack: list[tuple[str, bool, bool, bool]] = []  # element, dropped, in the article, dropped with any article in it
     parts: list[str] = []
     links = 0
     anchors = 0
@@ -95,7 +105,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal links
         text = " ".join("".join(parts).split())
         if text:
-            _, dropped, inside = stack[-1] if stack else ("", False, False)
+            _, dropped, inside, _ = stack[-1] if stack else ("", False, False, False)
             found.append(Block(text, links, dropped, inside))
         parts.clear()
         links = 0
@@ -145,18 +155,22 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in VOID or attributes.rstrip().endswith("/") and name not in INLINE and name in ("br", "hr"):
             continue
-        _, dropped, inside = stack[-1] if stack else ("", False, False)
-        article = inside or name in ("article", "main")
+        _, dropped, inside, shut = stack[-1] if stack else ("", False, False, False)
+        opens = name in ("article", "main")
+        article = inside or opens
         marked = _marked(attributes) if attributes and name not in ("body", "html", "article", "main") else False
         if name in ("article",) and attributes and _marked(attributes) and inside:
             marked = True
-        gone = dropped or name in DROPPED or marked or (name == "header" and not inside)
+        # a mark of an outer wrapper doesn't reach the article in it; what an element or a closed section drops stays so
+        held = dropped and (shut or inside or not opens)
+        gone = held or name in DROPPED or marked or (name == "header" and not inside)
+        shut = held and shut or name in DROPPED or marked and (inside or _marked(attributes, CLOSED))
         if name in INLINE:
             if gone != dropped:  # an advert or a notice in an inline element is a block of its own
                 close()
-                stack.append((name, gone, article))
+                stack.append((name, gone, article, shut))
             continue
-        stack.append((name, gone, article))
+        stack.append((name, gone, article, shut))
     close()
     return found
 

@@ -405,3 +405,18 @@ def test_registered():
 
 def test_shared_folder_is_read_from_the_session(spark):
     assert common.shared_root(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+@pytest.mark.parametrize(
+    ("page", "kept"),
+    [
+        ('<div id=page class="site has-sidebar">{}</div>', True), ('<div class="no-comments"><div class="with-ads">{}</div></div>', True),
+        ('<div class="search-page"><article>{}</article></div>', True), ('<div class="widget"><main>{}</main></div>', True),
+        ('<div class="comments"><article>{}</article></div>', False), ("<aside><main>{}</main></aside>", False),
+        ('<div class="related-posts"><article>{}</article></div>', False), ('<article><div class="ad">{}</div></article>', False),
+        ('<div class="left-sidebar">{}</div>', False), ('<div class="ad-slot">{}</div>', False),
+    ],
+)
+def test_marks_of_wrappers_do_not_drop_the_article(page, kept):
+    text = "The story of the town is told in this book and it was read by all of them for many years."
+    assert html_text.main_text(page.format(f"<p>{text}</p>")) == (text if kept else "")
