@@ -14,6 +14,7 @@ bucket.
 
 from __future__ import annotations
 
+import tempfile
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,9 +29,11 @@ from oddrank.llm import common
 
 BUCKETS, DIM = 1 << 18, 12
 NGRAMS = (3, 4)
-#: Bound of the training sample: labelled documents and characters of text. The
-#: sample is drawn evenly by hash; scoring has no bound.
-TRAIN_DOCS, TRAIN_CHARS = 6_000, 24_000_000
+#: Bound of the training sample: labelled documents, drawn evenly by hash. Their
+#: texts are used whole, however long; scoring has no bound.
+TRAIN_DOCS = 6_000
+#: Bytes of the sample's features from which they are kept in a file.
+SPOOLED = 1 << 26
 EPOCHS, RATE, SEED = 6, 0.4, 7
 THRESHOLD = 0.7
 #: Distinct words that a worker remembers before it starts afresh.
@@ -88,28 +91,54 @@ class Model:
     bias: float
 
 
+class Examples:
+    """Features and labels of training documents; many or long ones lie in a temporary file."""
+
+    def __init__(self) -> None:
+        self.labels: list[int] = []
+        self.ends = [0]
+        self.file = tempfile.SpooledTemporaryFile(SPOOLED)  # noqa: SIM115  closed with the object
+        self.words = Words()
+
+    def add(self, text: str | None, label: int) -> None:
+        if len(self.words) > MEMORY_WORDS:
+            self.words = Words()
+        found, n = document_features(text, self.words)
+        self.file.write(found.astype(np.int32).tobytes() + n.tobytes())
+        self.ends.append(self.ends[-1] + len(found))
+        self.labels.append(label)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        size = self.ends[i + 1] - self.ends[i]
+        self.file.seek(8 * self.ends[i])
+        held = self.file.read(8 * size)
+        return np.frombuffer(held, np.int32, size), np.frombuffer(held, np.float32, size, 4 * size)
+
+
 def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rate: float = RATE) -> Model:
+    """:func:`learn` from texts."""
+    docs = Examples()
+    for text, label in zip(texts, labels, strict=True):
+        docs.add(text, label)
+    return learn(docs, epochs, rate)
+
+
+def learn(docs: Examples, epochs: int = EPOCHS, rate: float = RATE) -> Model:
     """Embeddings and softmax layer by stochastic gradient descent.
 
     With no example of one of the classes there is nothing to learn: every
     document then scores the other class's certainty (one half without any).
     """
-    y = np.array(labels)
-    if len(set(labels)) < 2:
+    y = np.array(docs.labels)
+    if len(set(docs.labels)) < 2:
         return Model(np.zeros(BUCKETS), 0.0 if not len(y) else (20.0 if y[0] == 1 else -20.0))
-    words = Words()
-    docs = []
-    for text in texts:
-        if len(words) > MEMORY_WORDS:
-            words = Words()
-        docs.append(document_features(text, words))
-    words = Words()
+    docs.words = Words()
     rng = np.random.default_rng(SEED)
     table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     out, bias = np.zeros((2, DIM)), np.zeros(2)
-    steps, done = epochs * len(docs), 0
+    steps, done = epochs * len(y), 0
     for _ in range(epochs):
-        for i in rng.permutation(len(docs)):
+        for i in rng.permutation(len(y)):
             found, n = docs[i]
             step = rate * (1 - done / steps)
             done += 1
@@ -179,7 +208,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", train_docs: int = TRAIN_DOCS) -> Model:
-    """Train on at most ``train_docs`` labelled rows and ``TRAIN_CHARS`` characters.
+    """Train on at most ``train_docs`` labelled rows, drawn by hash, and their whole texts.
 
     Rows with a null label or identifier and held-out rows are never read;
     a label without a document is skipped; repeated labels count as often as
@@ -194,14 +223,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", train_do
     # drawn by hash first, so that no task sends more than its share
     drawn = usable.where(place <= F.lit(min(int(share * 2**64) - 2**63, 2**63 - 1))).orderBy(place, "doc_id").limit(train_docs)
     joined = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    texts, values, chars = [], [], 0
+    examples = Examples()
     for row in joined.select("doc_id", "text", "label").orderBy("doc_id", "label", "text").toLocalIterator():
-        chars += len(row.text or "")
-        if chars > TRAIN_CHARS and texts:
-            break
-        texts.append(row.text)
-        values.append(row.label)
-    return train(texts, values)
+        examples.add(row.text, row.label)
+    return learn(examples)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -420,3 +420,13 @@ def test_shared_folder_is_read_from_the_session(spark):
 def test_marks_of_wrappers_do_not_drop_the_article(page, kept):
     text = "The story of the town is told in this book and it was read by all of them for many years."
     assert html_text.main_text(page.format(f"<p>{text}</p>")) == (text if kept else "")
+
+
+def test_a_very_long_text_ends_no_training(spark):
+    free = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, "poor " * 4_900_000 if i == free[0] else ("good text " if i in free[20:] else "poor junk ") * 5) for i in free]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in free[20:])) for i in free], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    scorer = quality.Scorer(model)
+    assert scorer.score("good text good text") > 0.5 > scorer.score("poor junk poor junk")
