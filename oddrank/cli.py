@@ -33,7 +33,7 @@ def main(argv: list[str] | None = None) -> int:
     args = parser.parse_args(argv)
     try:
         if args.command == "detectors":
-            print("\n".join(["ecod", "hbos", *sorted(detectors.REGISTRY)]))
+            print("\n".join(sorted(detectors.REGISTRY)))
             return 0
         chosen = args.file if args.command == "config" else args.config
         cfg = Config.from_dict(json.loads(Path(chosen).read_text())) if chosen else Config()

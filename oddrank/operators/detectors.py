@@ -445,9 +445,72 @@ class LocalOutlierFactor(BatchModel):
         return density[at].mean(1) / own
 
 
+@dataclass
+class Ecod(BatchModel):
+    """Tail shares of the training table: each column's distinct values and how many rows lie at or under them."""
+
+    features: list[str]
+    values: list[list[float]]
+    upto: list[list[int]]
+    rows: int
+    threshold: float = 0.0
+    name = "ecod"
+
+    @classmethod
+    def fit(cls, x: np.ndarray, features: list[str], seed: int) -> Ecod:
+        found = [np.unique(x[:, f], return_counts=True) for f in range(x.shape[1])]
+        model = cls(features, [v.tolist() for v, _ in found], [np.cumsum(n).tolist() for _, n in found], len(x))
+        model.threshold = float(np.percentile(model.score(x), 95))
+        return model
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(x))
+        for f, (values, upto) in enumerate(zip(self.values, self.upto, strict=True)):
+            held, below = np.array(values), np.concatenate([[0], upto])
+            left = below[np.searchsorted(held, x[:, f], "right")] / self.rows
+            right = (self.rows - below[np.searchsorted(held, x[:, f], "left")]) / self.rows
+            total -= np.log(np.clip(np.minimum(left, right), FLOOR, 1.0))
+        return total / len(self.values)
+
+
+@dataclass
+class Hbos(BatchModel):
+    """The columns' histograms, as :func:`fit_hbos` makes them."""
+
+    features: list[str]
+    ranges: list[list[float]]
+    counts: list[list[int]]
+    rows: int
+    threshold: float = 0.0
+    name = "hbos"
+
+    @classmethod
+    def fit(cls, x: np.ndarray, features: list[str], seed: int) -> Hbos:
+        ranges, counts = [], []
+        for v in x.T:
+            low, high = float(v.min()), float(v.max())
+            k = auto_bins(len(v), *np.percentile(v, [25, 75]), low, high)
+            if low == high:
+                low, high = low - 0.5, high + 0.5
+            counts.append(np.histogram(v, k, (low, high))[0].tolist())
+            ranges.append([low, high])
+        model = cls(features, ranges, counts, len(x))
+        model.threshold = float(np.percentile(model.score(x), 95))
+        return model
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(x))
+        for v, (low, high), counts in zip(x.T, self.ranges, self.counts, strict=True):
+            k = len(counts)
+            at = np.clip(np.ceil((np.clip(v, low, high) - low) / ((high - low) / k)), 1, k).astype(int) - 1
+            terms = np.array(Histogram(low, high, counts, self.rows).terms())
+            total += np.where((v < low) | (v > high), -math.log(FLOOR), terms[at])
+        return total / len(self.counts)
+
+
 REGISTRY: dict[str, type] = {}
 #: Rows that each detector trains on at most, as in the reference; ``scoring.train_row_caps`` sets others.
-CAPS = {"isolation_forest": 250_000, "kmeans_distance": 200_000, "one_class_svm": 25_000, "lof": 50_000}
+CAPS = {"isolation_forest": 250_000, "kmeans_distance": 200_000, "one_class_svm": 25_000, "lof": 50_000, "ecod": 500_000, "hbos": 500_000}
 #: Cap of a registered detector that has none of its own.
 OTHER_CAP = 200_000
 
@@ -461,7 +524,7 @@ def register(kind: type) -> type:
     return kind
 
 
-for _kind in (IsolationForest, KMeansDistance, OneClassSVM, LocalOutlierFactor):
+for _kind in (IsolationForest, KMeansDistance, OneClassSVM, LocalOutlierFactor, Ecod, Hbos):
     register(_kind)
 
 

@@ -315,3 +315,14 @@ def test_composites_leave_bad_members_out(spark, monkeypatch):
     names = ["isolation_forest", "kmeans_distance", "lof"]
     fitted = detection.fit(df, Config.from_dict({"scoring": {"detectors": names, "combination": "composite"}}))
     assert fitted.dropped == ["lof"] and fitted.weights == [0.5, 0.5, 0.0]
+
+
+@pytest.mark.parametrize("name", ["ecod", "hbos"])
+def test_ecod_and_hbos_score_new_rows(name):
+    x = np.random.default_rng(5).normal(size=(2000, 2))
+    model = det.REGISTRY[name].fit(x, ["a", "b"], 7)
+    assert abs((model.score(x) > model.threshold).mean() - 0.05) < 0.01
+    raw = model.to_dict()
+    again = det.REGISTRY[raw.pop("detector")](**raw)
+    new = np.array([[0.0, 0.0], [50.0, -50.0]])
+    assert again.score(new)[1] > model.threshold > again.score(new)[0]
