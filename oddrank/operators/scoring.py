@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ from oddrank.operators import ranks
 
 #: Fit flag rates above this say nothing about a boundary.
 UNINFORMATIVE = 0.5
-#: Points of a stored calibrator.
-STORED_POINTS = 2000
+#: Points of a stored calibrator, if its column has more than so many distinct scores; else all are kept.
+STORED_POINTS, EXACT_POINTS = 2000, 10_000
 
 
 def calibrated(df: DataFrame, score: str, alias: str, by: list[str] | None = None) -> DataFrame:
@@ -20,15 +22,17 @@ def calibrated(df: DataFrame, score: str, alias: str, by: list[str] | None = Non
 
 
 def calibrators(df: DataFrame, scores: dict[str, str], points: int = STORED_POINTS) -> dict[str, list[tuple[float, float]]]:
-    """(score, mid-rank) points of each named score column, thinned to about ``points`` by rank.
+    """(score, mid-rank) points of each named score column; over ``EXACT_POINTS`` of them are thinned to about ``points`` by rank.
 
     One plan for all columns: they are unpivoted and ranked by name.
     """
     pairs = F.array(*[F.struct(F.lit(n).alias("member"), F.col(c).cast("double").alias("x")) for n, c in scores.items()])
     long = df.select(F.explode(pairs).alias("p")).select("p.member", "p.x")
     ranked = ranks.value_ranks(long, "x", ["member"])
+    sizes = ranked.groupBy("member").agg((F.count(F.lit(1)) > EXACT_POINTS).alias("thin"))
+    cell = F.when(F.col("thin"), F.floor(F.col("midrank") * points)).otherwise(F.col("below"))
     thinned = (
-        ranked.withColumn("cell", F.floor(F.col("midrank") * points))
+        ranked.join(F.broadcast(sizes), "member").withColumn("cell", cell)
         .groupBy("member", "cell")
         .agg(F.max_by(F.struct("x", "midrank"), "x").alias("p"))
         .select("member", "p.*")
@@ -45,10 +49,13 @@ def calibrate_against(score: Column, points: list[tuple[float, float]]) -> Colum
         return F.lit(0.5)
     if len(points) == 1:
         return F.when(score == points[0][0], 0.5).when(score > points[0][0], 1.0).otherwise(0.0)
-    xs = F.array(*[F.lit(float(x)) for x, _ in points])
-    ys = F.array(*[F.lit(float(y)) for _, y in points])
-    below = F.size(F.filter(xs, lambda x: x <= score))
-    return F.when(below == 0, F.lit(0.0)).otherwise(F.element_at(ys, F.greatest(below, F.lit(1))))
+    xs, ys = np.array([x for x, _ in points], float), np.array([0.0, *[y for _, y in points]], float)
+
+    def at(s):
+        below = np.where(s.isna(), 0, np.searchsorted(xs, s.to_numpy(float), "right"))
+        return pd.Series(ys[below])
+
+    return F.pandas_udf(at, "double", F.PandasUDFType.SCALAR)(score)
 
 
 def combined(cols: list[str], how: str, weights: list[float] | None = None) -> Column:

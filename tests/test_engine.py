@@ -326,3 +326,13 @@ def test_ecod_and_hbos_score_new_rows(name):
     again = det.REGISTRY[raw.pop("detector")](**raw)
     new = np.array([[0.0, 0.0], [50.0, -50.0]])
     assert again.score(new)[1] > model.threshold > again.score(new)[0]
+
+
+def test_calibrators_are_exact_up_to_ten_thousand_scores(spark):
+    df = spark.range(6000).select(F.col("id").cast("double").alias("s"))
+    points = scoring.calibrators(df, {"m": "s"})["m"]
+    assert len(points) == 6000
+    got = df.select("s", scoring.calibrate_against(F.col("s"), points).alias("c")).collect()
+    assert all(abs(r.c - (r.s + 0.5) / 6000) < 1e-12 for r in got)
+    many = spark.range(10_001).select(F.col("id").cast("double").alias("s"))
+    assert len(scoring.calibrators(many, {"m": "s"})["m"]) <= scoring.STORED_POINTS + 1
