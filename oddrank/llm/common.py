@@ -2,51 +2,30 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import ctypes
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oddrank.sources.shared import new_path, shared_root, written  # noqa: F401  the operators' shared folder
+
 #: Target bytes of text in one group handed to Python.
 CHUNK_BYTES = 8 << 20
 
 MASK64 = (1 << 64) - 1
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is read from ``spark.checkpoint.dir``. Only where that is unset (tests in
-    local mode) a temporary folder is made and removed at exit.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    own = tempfile.mkdtemp(prefix="oddrank-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again.
-
-    This cuts the lineage: whatever is built on the result can be recomputed
-    from files when an executor is lost, and non-deterministic placement
-    (sampled range splitters) is settled once.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def remove(*tables: DataFrame) -> None:
+    """Delete tables that :func:`written` made and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            fs.delete(path, True)
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
@@ -76,6 +55,37 @@ def chunk_of(key: Column, chunks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int")
 
 
+def portions(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``size`` bytes each."""
+    step = max(1, int(size * batch.num_rows // max(batch.nbytes, 1)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
+def released(work):
+    """A function for ``mapInArrow`` that gives its worker's free memory back when a task ends.
+
+    Workers are reused from stage to stage; without this each keeps the most that
+    any stage before took.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    """Hand memory that Python and Arrow hold but don't use back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 (fixed published constants), element by element."""
     x = x.astype(np.uint64, copy=True)

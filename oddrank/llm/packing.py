@@ -34,34 +34,68 @@ K1, B = 1.2, 0.75
 
 PIECE = "doc_id long, start long, ids binary, doc_tokens long"
 PACKED = f"{PIECE}, sequence_id long, offset long"
+PIECE_TYPES = (pa.int64(), pa.int64(), pa.binary(), pa.int64())
 #: Windows that one document fills alone are numbered from here.
 ALONE = 1 << 61
+#: Bytes of texts that are encoded at once.
+PORTION = 6 << 20
 
 
 def encode_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, window: int, end_id: int) -> DataFrame:
-    """One row for each whole window of a document and one for its tail."""
+    """One row for each whole window of a document and one for its tail, which has a route.
+
+    The ids of whole windows are little-endian uint32, those of tails have the
+    tokenizer's narrow type.
+    """
 
+    @common.released
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = tokens.encoder(tokenizer), np.array([end_id], np.uint32)
+        coder = tokens.encoder(tokenizer)
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.concatenate([coder.ids(text), end])
-                whole = len(ids) // window * window
-                rows += [(doc_id, at, _bytes(ids[at : at + window]), len(ids), None) for at in range(0, whole, window)]
-                if whole < len(ids):
-                    rows.append((doc_id, whole, _bytes(ids[whole:]), len(ids), route(ids[whole:])))
-                if len(rows) >= 1000:
-                    yield _batch(rows, (*PIECE_TYPES, pa.int64()))
-                    rows = []
-            if rows:
-                yield _batch(rows, (*PIECE_TYPES, pa.int64()))
+            for part in common.portions(batch, PORTION):
+                yield _pieces(part.column(0), *coder.batch(part.column(1), end_id), window)
 
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return src.mapInArrow(encode, f"{PIECE}, route long")
 
 
-PIECE_TYPES = (pa.int64(), pa.int64(), pa.binary(), pa.int64())
+def _pieces(names: pa.Array, ids: np.ndarray, sizes: np.ndarray, window: int) -> pa.RecordBatch:
+    """Windows and tails of documents whose ids lie one after another: all windows first, then the tails."""
+    begins = np.cumsum(sizes) - sizes
+    full, rest = sizes // window, sizes % window
+    doc = np.repeat(np.arange(len(sizes)), full)
+    start = (np.arange(len(doc)) - np.repeat(np.cumsum(full) - full, full)) * window
+    ended = np.flatnonzero(rest)
+    tail = begins[ended] + sizes[ended] - rest[ended]
+    whole = [ids[a : a + window].astype("<u4").tobytes() for a in (begins[doc] + start).tolist()]
+    ends = [ids[a:b].tobytes() for a, b in zip(tail.tolist(), (begins + sizes)[ended].tolist(), strict=True)]
+    owner = np.concatenate([doc, ended])
+    routes = pa.array(np.concatenate([np.zeros(len(doc), np.int64), _routes(ids, tail, rest[ended])]), mask=np.arange(len(owner)) < len(doc))
+    return pa.RecordBatch.from_arrays(
+        [
+            names.take(pa.array(owner)),
+            pa.array(np.concatenate([start, full[ended] * window])),
+            pa.array([*whole, *ends], pa.binary()),
+            pa.array(sizes[owner]),
+            routes,
+        ],
+        names=["doc_id", "start", "ids", "doc_tokens", "route"],
+    )
+
+
+def _routes(ids: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """:func:`route` of many runs of ids."""
+    if not len(begins):
+        return np.empty(0, np.int64)
+    wide = ids.astype(np.uint64)
+    # a pair of neighbours at each place; the last place of a run pairs nothing, or stands for a run of one
+    pairs = common.mix64((wide[:-1] << np.uint64(32)) | wide[1:]) if len(wide) > 1 else np.empty(0, np.uint64)
+    pairs = np.append(pairs, np.uint64(common.MASK64))
+    last = begins + sizes - 1
+    pairs[last] = np.where(sizes > 1, np.uint64(common.MASK64), common.mix64(wide[last]))
+    edges = np.column_stack([begins, begins + sizes]).ravel()
+    least = np.minimum.reduceat(np.append(pairs, np.uint64(common.MASK64)), edges)[::2]
+    return (least >> np.uint64(1)).astype(np.int64)
 
 
 def _bytes(ids: np.ndarray) -> bytes:
@@ -75,23 +109,26 @@ def _batch(rows: list[tuple], types: tuple) -> pa.RecordBatch:
 
 def route(ids: np.ndarray) -> int:
     """Min-hash of the pairs of neighbouring ids: texts alike tend to share it."""
-    pairs = (ids[:-1].astype(np.uint64) << np.uint64(32)) | ids[1:] if len(ids) > 1 else ids
-    return int(common.mix64(pairs.astype(np.uint64)).min() >> np.uint64(1))
+    return int(_routes(ids, np.array([0]), np.array([len(ids)]))[0])
 
 
-def term_statistics(tails: DataFrame, vocabulary: int) -> tuple[np.ndarray, int, float]:
+def term_statistics(tails: DataFrame, vocabulary: int, dtype: np.dtype) -> tuple[np.ndarray, int, float]:
     """Document frequency of each id, number and mean length of all tails.
 
     Tasks send one row for each id that they met, so what reaches the driver is
     bounded by the vocabulary.
     """
 
+    @common.released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, n, length = np.zeros(vocabulary, np.int64), 0, 0
+        last = np.zeros(vocabulary, np.int64)
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                ids = np.frombuffer(raw, "<u4")
-                found[np.unique(ids)] += 1
+                ids = np.frombuffer(raw, dtype)
+                place = np.arange(len(ids))
+                last[ids] = place  # of equal ids one place is left
+                found[ids[last[ids] == place]] += 1
                 n, length = n + 1, length + len(ids)
         met = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays(
@@ -236,9 +273,12 @@ def pack(
     tokenizer = tokenizer or tokens.default_tokenizer()
     pieces = common.written(encode_pieces(docs, id_col, text_col, tokenizer, window, end_id), "pieces")
     whole, tails = pieces.where("route IS NULL"), pieces.where("route IS NOT NULL")
-    frequency, n, mean = term_statistics(tails, max(tokens.encoder(tokenizer).size, end_id + 1))
+    coder = tokens.encoder(tokenizer)
+    dtype = coder.dtype
+    frequency, n, mean = term_statistics(tails, max(coder.size, end_id + 1), dtype)
     idf = spark.sparkContext.broadcast(inverse_frequency(frequency, n))
 
+    @common.released
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         opened: list = []
@@ -254,7 +294,7 @@ def pack(
             return out
 
         types = (*PIECE_TYPES, pa.int64(), pa.int64())
-        for block in _blocks(batches, block_docs):
+        for block in _blocks(batches, block_docs, dtype):
             arrays = [b[2] for b in block]
             rows: list[tuple] = []
             opened = [(-1 - i, lo, hi) for i, (_, lo, hi) in enumerate(left)]
@@ -292,11 +332,11 @@ def pack(
     return filled.unionByName(alone)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple]]:
+def _blocks(batches: Iterator[pa.RecordBatch], size: int, dtype: np.dtype) -> Iterator[list[tuple]]:
     block: list[tuple] = []
     for batch in batches:
         for doc_id, start, raw, doc_tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            block.append((doc_id, start, np.frombuffer(raw, "<u4"), doc_tokens))
+            block.append((doc_id, start, np.frombuffer(raw, dtype), doc_tokens))
             if len(block) == size:
                 yield block
                 block = []
