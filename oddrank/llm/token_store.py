@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ MAGIC = b"OTK1"
 HEAD = struct.Struct("<4sB8sI")
 #: Compressed bytes after which a shard is closed.
 SHARD_BYTES = 4 << 20
+#: Bytes of texts that are encoded at once, and documents that are read at once.
+PORTION, READ_DOCS = 6 << 20, 1024
 #: Documents on whose serialized ids the dictionary is trained, its size, and the
 #: most bytes of one of them that it sees. The dictionary only affects size.
 DICTIONARY_DOCS = 1_000
@@ -42,7 +45,8 @@ DICTIONARY_SAMPLE_BYTES = 16 << 10
 LEVEL = 3
 
 SHARD_SCHEMA = (
-    "part int, shard int, n_docs long, n_ids long, dictionary string, doc_ids array<long>, payload binary"
+    "part int, shard int, n_docs long, n_ids long, dictionary string, least_id long, most_id long, "
+    "doc_ids array<long>, payload binary"
 )
 
 
@@ -98,6 +102,18 @@ class Codec:
         begin = base + (int(index[at - 1, 0]) if at else 0)
         return deserialise(self.decompress(shard[begin : base + int(index[at, 0])]), self.width)
 
+    def documents(self, shard: bytes, first: int, end: int) -> pa.Array:
+        """Ids of some documents in a row, each as little-endian uint32 in one binary value."""
+        index, base = self.index(shard)
+        ends = [base, *(base + index[:, 0].astype(np.int64)).tolist()]
+        data = memoryview(shard)
+        raws = [self.decompress(data[ends[i] : ends[i + 1]]) for i in range(first, end)]
+        ids = deserialise(b"".join(raws), self.width).astype("<u4")
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in raws])]) * 4 // self.width
+        if offsets[-1] >= 1 << 31:
+            raise ValueError("these documents are more than one Arrow array can hold")
+        return pa.Array.from_buffers(pa.binary(), end - first, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids)])
+
 
 def write_store(
     docs: DataFrame,
@@ -122,41 +138,45 @@ def write_store(
     )
     width = 2 if tokens.encoder(tokenizer).size <= 1 << 16 else 4
     trained = train_dictionary(
-        [serialise(tokens.encoder(tokenizer).ids(t), width)[:DICTIONARY_SAMPLE_BYTES] for t in _sample(src)]
+        [tokens.encoder(tokenizer).ids(t).tobytes()[:DICTIONARY_SAMPLE_BYTES] for t in _sample(src)]
     )
     name = hashlib.sha256(trained).hexdigest() if trained else ""
     spark.createDataFrame([(name, bytearray(trained), width)], "hash string, dictionary binary, width int").coalesce(
         1
     ).write.parquet(f"{path}/dictionary")
 
+    @common.released
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, codec = tokens.encoder(tokenizer), Codec(trained, width)
         part, shard, size = TaskContext.get().partitionId(), 0, 0
         ids: list[int | None] = []
         frames: list[tuple[bytes, int]] = []
-        end = np.array([end_id], np.uint32)
 
         def close() -> pa.RecordBatch:
-            row = [part, shard, len(frames), sum(n for _, n in frames), name, list(ids), codec.pack(frames)]
+            met = [i for i in ids if i is not None]
+            row = [part, shard, len(frames), sum(n for _, n in frames), name, min(met, default=None), max(met, default=None),
+                   list(ids), codec.pack(frames)]
             return pa.RecordBatch.from_arrays(
                 [pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names
             )
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.concatenate([coder.ids(text), end])
-                frame = codec.compress(serialise(got, width))
-                ids.append(doc_id)
-                frames.append((frame, len(got)))
-                size += len(frame) + 16
-                if size >= shard_bytes:
-                    yield close()
-                    ids, frames, size, shard = [], [], 0, shard + 1
+            for portion in common.portions(batch, PORTION):
+                flat, sizes = coder.batch(portion.column(1), end_id)
+                raw, ends = memoryview(flat.tobytes()), (np.cumsum(sizes) * width).tolist()
+                for doc_id, begin, end in zip(portion.column(0).to_pylist(), [0, *ends[:-1]], ends, strict=True):
+                    frame = codec.compress(raw[begin:end])
+                    ids.append(doc_id)
+                    frames.append((frame, (end - begin) // width))
+                    size += len(frame) + 16
+                    if size >= shard_bytes:
+                        yield close()
+                        ids, frames, size, shard = [], [], 0, shard + 1
         if frames:
             yield close()
 
     names = [c.split()[0] for c in SHARD_SCHEMA.split(", ")]
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary()]
+    types = [pa.int32(), pa.int32(), *[pa.int64()] * 2, pa.string(), *[pa.int64()] * 2, pa.list_(pa.int64()), pa.binary()]
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ranged = src.repartitionByRange(common.partitions(spark), *order)
     ranged.sortWithinPartitions(*order, "text").mapInArrow(encode, SHARD_SCHEMA).write.parquet(f"{path}/shards")
@@ -173,14 +193,18 @@ def _sample(src: DataFrame) -> list[str]:
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids) of a store: ``start`` counts the ids before a document.
 
-    ``start`` needs one prefix sum over the shards, of which there is one for
-    every few megabytes; their sizes alone are summed in one task.
+    ``start`` needs a prefix sum over the shards: within a partition by a window,
+    over the partitions, of which the driver knows the number, by another.
     """
     shards, codec = _open(spark, path)
-    sizes = shards.select("part", "shard", "n_ids")
-    before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("part", "shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-
+    own = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    within = shards.select("part", "shard", F.coalesce(F.sum("n_ids").over(own), F.lit(0)).alias("within"))
+    totals = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each partition that was written
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    bases = within.join(earlier, "part").select("part", "shard", (F.col("within") + F.col("earlier")).alias("base"))
+
+    @common.released
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec()
         for batch in batches:
@@ -188,14 +212,13 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
             for base, doc_ids, shard in zip(*cols, strict=True):
                 index, _ = own.index(shard)
                 starts = base + np.concatenate([[0], np.cumsum(index[:, 1], dtype=np.int64)[:-1]])
-                for lo in range(0, len(doc_ids), 256):
-                    some = range(lo, min(lo + 256, len(doc_ids)))
-                    arrays = [own.document(shard, i) for i in some]
+                for lo in range(0, len(doc_ids), READ_DOCS):
+                    some = slice(lo, lo + READ_DOCS)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(doc_ids[lo : lo + 256], pa.int64()),
-                            pa.array(starts[lo : lo + 256], pa.int64()),
-                            pa.array([a.astype("<u4").tobytes() for a in arrays], pa.binary()),
+                            pa.array(doc_ids[some], pa.int64()),
+                            pa.array(starts[some]),
+                            own.documents(shard, lo, min(lo + READ_DOCS, len(doc_ids))),
                         ],
                         names=["doc_id", "start", "ids"],
                     )
@@ -205,10 +228,13 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str, wanted: list[int]) -> dict[int, np.ndarray]:
-    """Ids of a few documents: only their shards are opened, only their frames decoded."""
+    """Ids of a few documents: only shards whose range of identifiers holds one are opened, only their frames decoded."""
     shards, codec = _open(spark, path)
+    near = F.lit(False)
+    for i in wanted:
+        near |= (F.col("least_id") <= i) & (F.col("most_id") >= i)
     own, found = codec(), {}
-    for row in shards.where(F.arrays_overlap("doc_ids", F.array(*map(F.lit, wanted)))).toLocalIterator():
+    for row in shards.where(near).where(F.arrays_overlap("doc_ids", F.array(*map(F.lit, wanted)))).toLocalIterator():
         for at, doc_id in enumerate(row.doc_ids):
             if doc_id in wanted:
                 found[doc_id] = own.document(bytes(row.payload), at)
@@ -226,15 +252,9 @@ def store_digest(store: DataFrame) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            arrays = [np.frombuffer(b, "<u4") for b in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([len(a) for a in arrays], pa.int64()),
-                    pa.array([tokens.crc(a) for a in arrays], pa.int64()),
-                ],
-                names=["doc_id", "start", "n_tokens", "ids_crc32"],
-            )
+            raws = batch.column(2).to_pylist()
+            sizes = pa.array([len(r) // 4 for r in raws], pa.int64())
+            crcs = pa.array([zlib.crc32(r) for r in raws], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, crcs], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return store.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
