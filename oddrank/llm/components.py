@@ -15,7 +15,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     where that one goes; the edges are renamed, and those inside one name or said
     twice fall away. So the graph shrinks from round to round, and a group of
     many edges is read in full only once. The state of a round is a table in the
-    shared folder; only a counter reaches the driver.
+    shared folder, removed once the next round's stands; only a counter reaches
+    the driver.
     """
     ends = [F.col(a).alias("a"), F.col(b).alias("b")]
     left = common.written(edges.select(*ends).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct(), "edges")
@@ -27,8 +28,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         moved = common.written(
             near.join(further, "to", "left").select("a", F.coalesce("then", "to").alias("to")), "moves"
         )
+        before = known
         if known is None:
-            known = moved.select(F.col("a").alias("node"), F.col("to").alias("label"))
+            known = common.written(moved.select(F.col("a").alias("node"), F.col("to").alias("label")), "labels")
         else:
             step = moved.select(F.col("a").alias("label"), "to")
             known = common.written(
@@ -36,5 +38,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             )
         half = left.join(moved, "a").select(F.col("to").alias("x"), "b")
         renamed = half.join(moved.select(F.col("a").alias("b"), "to"), "b").select(F.col("x").alias("a"), F.col("to").alias("b"))
-        left = common.written(renamed.where("a <> b").distinct(), "edges")
+        again = common.written(renamed.where("a <> b").distinct(), "edges")
+        common.remove(left, moved, *([before] if before is not None else []))
+        left = again
+    common.remove(left)
     return known

@@ -36,7 +36,8 @@ BLOCK_ELEMENTS, BLOCK_NODES = 2_000_000, 1024
 #: Columns of an incidence matrix multiplied at once.
 SLICE = 4096
 
-_hashes = words.WordHashes()
+#: Bytes of texts whose sets are made at once.
+PORTION = 2 << 20
 
 
 def band_rows(percent: int, positions: int = POSITIONS) -> int:
@@ -46,16 +47,32 @@ def band_rows(percent: int, positions: int = POSITIONS) -> int:
     return max(fitting, default=1)
 
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """Ascending distinct hashes of a text's shingles.
+def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct hashes of each text's shingles, text after text, and how many each has.
 
     A text with fewer words than ``size`` has its whole sequence as its only
     shingle; one without words has none.
     """
-    found = words.split(text, lower=True)
-    if not found:
-        return np.empty(0, np.uint64)
-    return np.unique(words.Runs(_hashes.of(found)).of(min(size, len(found))))
+    found = words.Words(texts, lower=True)
+    values, sizes, begins = found.values(), found.sizes, found.begins[:-1]
+    n = np.where(sizes > 0, np.maximum(sizes - size + 1, 1), 0)
+    ends = np.cumsum(n)
+    flat = np.empty(int(ends[-1]) if len(n) else 0, np.uint64)
+    long = sizes >= size
+    if long.any():
+        fits = np.arange(len(values)) - np.repeat(begins, sizes) + size <= np.repeat(sizes, sizes)
+        own = np.repeat(long, n)
+        flat[own] = words.run_hashes(values, size)[fits[: len(values) - size + 1]]
+    for short in range(1, size):
+        some = np.flatnonzero(sizes == short)
+        if len(some):
+            flat[ends[some] - 1] = words.run_hashes(values, short)[begins[some]]
+    new = np.ones(len(flat), bool)
+    for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True):
+        flat[a:b].sort()
+    new[1:] = flat[1:] != flat[:-1]
+    new[(ends - n)[n > 0]] = True
+    return flat[new], np.diff(np.concatenate([[0], np.cumsum(new)])[np.concatenate([[0], ends])])
 
 
 def fingerprint(elements: np.ndarray) -> bytes:
@@ -71,20 +88,20 @@ def sketches(docs: DataFrame, shingle: int, percent: int, positions: int) -> Dat
     """doc_id, n_shingles, node (fingerprint of the set), keys (one for each band)."""
     rows = band_rows(percent, positions)
 
+    @common.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _portions(batch, 1 << 20):
-                sets = [shingle_set(t, shingle) for t in part.column(1).to_pylist()]
-                sizes = np.array([len(s) for s in sets])
-                owner = np.repeat(np.arange(len(sets)), sizes)
-                flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-                keys = superminhash.band_keys(superminhash.signatures(flat, owner, len(sets), positions), rows)
+            for part in common.portions(batch, PORTION):
+                flat, sizes = shingle_sets(part.column(1), shingle)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                keys = superminhash.band_keys(superminhash.signatures(flat, owner, len(sizes), positions), rows)
+                listed = np.arange(0, keys.size + 1, max(1, keys.shape[1]), dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.array(sizes, pa.int64()),
-                        pa.array([fingerprint(s) for s in sets], pa.binary()),
-                        pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
+                        pa.array(map(fingerprint, np.split(flat, np.cumsum(sizes)[:-1])), pa.binary()),
+                        pa.ListArray.from_arrays(listed, pa.array(keys.view(np.int64).ravel())),
                     ],
                     names=["doc_id", "n_shingles", "node", "keys"],
                 )
@@ -94,13 +111,6 @@ def sketches(docs: DataFrame, shingle: int, percent: int, positions: int) -> Dat
     )
 
 
-def _portions(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``size`` bytes each."""
-    step = max(1, int(size * batch.num_rows // max(batch.nbytes, 1)))
-    for at in range(0, batch.num_rows, step):
-        yield batch.slice(at, step)
-
-
 def block_labels(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """Least position reachable over links between the sets, for each set."""
     n = len(sets)
@@ -217,10 +227,12 @@ def near_duplicates(
         src.select(F.coalesce("doc_id", none).alias("first_id"), "text"), "first_id"
     ).select("wanted", "cluster", "blocks", "text")
 
+    @common.released
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _portions(batch, 1 << 20):
-                sets = [shingle_set(t, shingle) for t in part.column(3).to_pylist()]
+            for part in common.portions(batch, PORTION):
+                flat, sizes = shingle_sets(part.column(3), shingle)
+                sets = np.split(flat, np.cumsum(sizes)[:-1])
                 found = part.set_column(3, "elements", pa.array([s.tobytes() for s in sets], pa.binary()))
                 # another text may have the identifier of the wanted one
                 yield found.filter(

@@ -38,8 +38,9 @@ def signatures(elements: np.ndarray, owner: np.ndarray, n_sets: int, m: int) ->
         begin = ends[first] - sizes[first]
         last = max(first + 1, int(np.searchsorted(ends, begin + BATCH, "right")))
         lo, hi = int(begin), int(ends[last - 1])
-        if hi > lo:
-            _batch(elements[lo:hi], owner[lo:hi] - first, out[first:last])
+        for part in range(lo, hi, BATCH):  # one, but for a set beyond the batch: its parts' offers meet in one signature
+            end = min(hi, part + BATCH)
+            _batch(elements[part:end], owner[part:end] - first, out[first:last])
         first = last
     return out
 
