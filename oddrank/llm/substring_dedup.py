@@ -8,7 +8,7 @@ documents are extended to the windows around them, and those windows alone are
 compared across documents.
 
 Documents are dealt into chunks of a few megabytes by the hash of their
-identifier. A chunk tells each anchor (later each window) once, with the
+identifier and text. A chunk tells each anchor (later each window) once, with the
 smallest and largest identifier that has it, to the bucket of its hash, and the
 bucket answers; see ``exchange``. No group of equal passages ever meets in one
 task, and no pairs are made.
@@ -20,6 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,23 +32,19 @@ PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 CHUNK_BYTES = 4 << 20
 LAST = np.iinfo(np.int64).max
 
-_hashes = words.WordHashes()
-
 
 class Chunk:
     """The words of a chunk's documents, one after another."""
 
-    def __init__(self, table: pa.Table, hashed: bool = True) -> None:
+    def __init__(self, table: pa.Table) -> None:
         self.ids = table.column("doc_id").to_pylist()
-        self.words = [words.split(t) for t in table.column("text").to_pylist()]
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
-        self.begins = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.words = words.Words(pa.concat_arrays([pa.array([], pa.string()), *table.column("text").cast(pa.string()).chunks]))
+        self.sizes, self.begins = self.words.sizes, self.words.begins
         #: rank of a document: its identifier; no identifier comes last
         self.rank = np.array([LAST if i is None else i for i in self.ids], np.int64)
-        flat = [w for doc in self.words for w in doc]
-        self.runs = words.Runs(_hashes.of(flat))
-        self.doc = np.repeat(np.arange(len(self.ids)), self.sizes)
-        self.offset = np.arange(len(flat)) - self.begins[self.doc]
+        self.values = self.words.values()
+        self.doc = self.words.owner()
+        self.offset = np.arange(len(self.doc)) - self.begins[self.doc]
 
     def anchors(self, window: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the anchors and their hashes."""
@@ -57,7 +54,7 @@ class Chunk:
         long_enough = self.sizes[self.doc] >= window
         fits = self.offset + length <= self.sizes[self.doc]
         at = np.flatnonzero(covered[self.offset % PERIOD] & fits & long_enough)
-        return at, self.runs.of(length, at)
+        return at, words.run_hashes(self.values, length)[at]
 
     def windows(self, window: int, near: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Starts of whole windows (those around the anchors ``near``) and their hashes."""
@@ -69,7 +66,16 @@ class Chunk:
             np.add.at(edge, near + 1, -1)
             starts &= np.cumsum(edge[:-1]) > 0
         at = np.flatnonzero(starts)
-        return at, self.runs.of(window, at)
+        return at, words.run_hashes(self.values, window)[at]
+
+    def kept(self, gone: np.ndarray) -> list[bytes]:
+        """The words of each document that aren't gone, joined by one space."""
+        left = ~gone
+        spaced = pc.binary_join_element_wise(self.words.distinct, pa.scalar(b"", pa.binary()), pa.scalar(b" ", pa.binary()))
+        taken = spaced.cast(pa.large_binary()).take(pa.array(self.words.codes[left]))
+        ends = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)[np.concatenate([[0], np.cumsum(left)])[self.begins]]
+        data = memoryview(taken.buffers()[2] or b"")
+        return [bytes(data[a : b - 1]) if b > a else b"" for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def _tell(chunk: int, keys: np.ndarray, rank: np.ndarray, buckets: int) -> pa.Table:
@@ -134,7 +140,7 @@ def removed_words(
         docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")
     )
     chunks = common.chunk_count(src, "text", CHUNK_BYTES)
-    dealt = src.select(common.chunk_of(F.struct("doc_id", F.substring("text", 1, 64)), chunks).alias("chunk"), "doc_id", "text")
+    dealt = src.select(common.chunk_of(F.struct("doc_id", "text"), chunks).alias("chunk"), "doc_id", "text")
     by_chunk = dealt.groupBy("chunk")
 
     def tell_anchors(key: tuple, table: pa.Table) -> pa.Table:
@@ -163,12 +169,11 @@ def removed_words(
             edge[at[hit] + window] -= 1
             gone = np.cumsum(edge[:-1]) > 0
         rows = []
-        for i, doc in enumerate(chunk.words):
+        for i, kept in enumerate(chunk.kept(gone)):
             lost = gone[chunk.begins[i] : chunk.begins[i + 1]]
-            kept = b" ".join(w for w, x in zip(doc, lost, strict=True) if not x) if lost.any() else b" ".join(doc)
             turns = np.flatnonzero(np.diff(np.concatenate([[0], lost.view(np.int8), [0]])))
             spans = [{"first": int(a), "end": int(b)} for a, b in turns.reshape(-1, 2)]
-            rows.append((chunk.ids[i], len(doc), int(lost.sum()), hashlib.sha256(kept).hexdigest(), spans,
+            rows.append((chunk.ids[i], len(lost), int(lost.sum()), hashlib.sha256(kept).hexdigest(), spans,
                          kept.decode("utf-8", "replace") if with_text else None))
         span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), span, pa.string()]
