@@ -50,7 +50,8 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
-    return decontamination.contamination(docs, benchmark)
+    found = decontamination.contamination(docs, benchmark)
+    return found.withColumn("item_ids", F.array_join(F.col("item_ids").cast("array<string>"), ","))
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +82,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_store": op10_token_store,
 }
 
+#: Words of every text, and with A-Z in lower case.
+_WORDS = r"""regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"""
+_LOW = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_LOW} AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS g FROM d),
+k AS (SELECT g, min(doc_id) AS c FROM s WHERE len(g) > 0 GROUP BY g),
+e AS (SELECT c, len(g) AS n, unnest(g) AS x FROM k),
+p AS (SELECT l.c AS a, r.c AS b FROM e l JOIN e r ON l.x = r.x AND l.c < r.c GROUP BY l.c, r.c, l.n, r.n
+  HAVING 100 * count(*) >= 85 * (l.n + r.n - count(*))),
+links AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(c, l) AS (SELECT c, c FROM k UNION SELECT links.b, r.l FROM r JOIN links ON links.a = r.c WHERE r.l < links.b),
+m AS (SELECT c, min(l) AS l FROM r GROUP BY c)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(m.l, s.doc_id) AS component_id, s.doc_id = coalesce(m.l, s.doc_id) AS kept
+FROM s LEFT JOIN k ON k.g = s.g LEFT JOIN m ON m.c = k.c
+""",
+    "op3_substring_dedup": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+v AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+f AS (SELECT x, min(doc_id) AS first FROM v GROUP BY x),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM v JOIN f USING (x) WHERE first < doc_id),
+t AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+n AS (SELECT t.doc_id, count(g.p) AS n_removed, string_agg(t.x, ' ' ORDER BY t.p) FILTER (g.p IS NULL) AS kept
+  FROM t LEFT JOIN g ON g.doc_id = t.doc_id AND g.p = t.p GROUP BY t.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id)
+""",
+    "op7_benchmark_decontamination": f"""
+WITH d AS (SELECT doc_id, {_LOW} AS w FROM documents), b AS (SELECT item_id, {_LOW} AS w FROM benchmark),
+t AS (SELECT doc_id, len(w) AS m, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+u AS (SELECT item_id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS q FROM b),
+a AS (SELECT doc_id, item_id, m, n, p - q AS shift, least(20, n) AS need, list(q) AS qs FROM t JOIN u USING (x)
+  GROUP BY ALL HAVING 100 * count(*) >= 80 * least(20, n)),
+h AS (SELECT DISTINCT doc_id, item_id FROM (SELECT *, unnest(list_distinct(list_transform(qs, lambda q: least(q, n - need + 1, m - shift - need + 1)))) AS j FROM a)
+  WHERE j >= 1 AND shift + j >= 1 AND 100 * len(list_filter(qs, lambda z: z >= j AND z < j + need)) >= 80 * need),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids FROM h GROUP BY doc_id)
+SELECT d.doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(item_ids, '') AS item_ids
+FROM d LEFT JOIN i USING (doc_id)
+""",
     "op2_chat_formatting": r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
