@@ -15,17 +15,17 @@ bucket.
 from __future__ import annotations
 
 import tempfile
-import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddrank.llm import common
+from oddrank.llm import common, words
 
 BUCKETS, DIM = 1 << 18, 12
 NGRAMS = (3, 4)
@@ -36,51 +36,61 @@ TRAIN_DOCS = 6_000
 SPOOLED = 1 << 26
 EPOCHS, RATE, SEED = 6, 0.4, 7
 THRESHOLD = 0.7
-#: Distinct words that a worker remembers before it starts afresh.
-MEMORY_WORDS = 200_000
+#: Distinct words whose numbers a scorer remembers; beyond them it goes on with
+#: those of the last portion.
+MEMORY_WORDS = 300_000
+#: Bytes of texts that are scored at once.
+PORTION = 4 << 20
 
 #: A pair of equal words is a feature of its own, whatever the word.
 REPEATED = 1
 
 
-def _word_features(word: str) -> array:
-    padded = f"<{word}>"
-    grams = [padded[i : i + n] for n in NGRAMS for i in range(len(padded) - n + 1)]
-    return array("i", [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in (f"w:{word}", *grams)])
+def _buckets(keys: np.ndarray) -> np.ndarray:
+    return (common.mix64(keys) % np.uint64(BUCKETS)).astype(np.int32)
 
 
-class Words(dict):
-    """Word -> its number; features of the numbered words are kept in arrays."""
+def word_features(names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each word and its character n-grams, word after word, and how many each has.
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.hashes: list[int] = []
-        self.features: list[array] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self.hashes)
-        self.hashes.append(zlib.crc32(word.encode("utf-8", "surrogatepass")))
-        self.features.append(_word_features(word))
-        return n
+    A word's n-grams are those of its characters with one mark before and one after them.
+    """
+    spelled = [f"<{name.decode('utf-8', 'replace')}>" for name in names]
+    sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
+    code = np.frombuffer("".join(spelled).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    word = np.repeat(np.arange(len(names)), sizes)
+    room = np.cumsum(sizes)[word] - np.arange(len(code))
+    owners, keys = [np.arange(len(names))], [np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))]
+    for n in NGRAMS:
+        at = np.flatnonzero(room >= n)
+        key = np.full(len(at), n, np.uint64)
+        for i in range(n):
+            key = key * np.uint64(0x9E3779B97F4A7C15) + code[at + i]
+        owners.append(word[at])
+        keys.append(key)
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return _buckets(np.concatenate(keys))[order], np.bincount(owner, minlength=len(names))
 
 
 def pair_features(hashes: np.ndarray) -> np.ndarray:
     """Buckets of neighbouring words, given the words' hashes."""
-    a, b = hashes[:-1].astype(np.uint64), hashes[1:].astype(np.uint64)
-    found = (common.mix64((a << np.uint64(32)) | b) % np.uint64(BUCKETS)).astype(np.int64)
+    a, b = hashes[:-1], hashes[1:]
+    found = _buckets(a * np.uint64(0xD1342543DE82EF95) + b)
     found[a == b] = REPEATED
     return found
 
 
-def document_features(text: str | None, words: Words) -> tuple[np.ndarray, np.ndarray]:
+def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a whole text and how often each occurs."""
-    rows = [words[w] for w in (text or "").split()]
-    if not rows:
+    found = words.of_texts([text])
+    if not len(found.codes):
         return np.empty(0, np.int32), np.empty(0, np.float32)
-    flat = np.frombuffer(b"".join([words.features[r] for r in rows]), np.int32)
-    pairs = pair_features(np.array([words.hashes[r] for r in rows], np.uint64))
-    found, n = np.unique(np.concatenate([flat, pairs.astype(np.int32)]), return_counts=True)
-    return found, n.astype(np.float32)
+    flat, sizes = word_features(found.distinct.to_pylist())
+    times = np.bincount(found.codes, minlength=len(sizes))
+    buckets, place = np.unique(np.concatenate([flat, pair_features(found.values())]), return_inverse=True)
+    n = np.bincount(place, np.concatenate([np.repeat(times, sizes), np.ones(len(place) - len(flat))]))
+    return buckets, n.astype(np.float32)
 
 
 @dataclass
@@ -89,6 +99,8 @@ class Model:
 
     weights: np.ndarray
     bias: float
+    #: whether there were examples of both classes to learn from
+    learned: bool = True
 
 
 class Examples:
@@ -98,12 +110,9 @@ class Examples:
         self.labels: list[int] = []
         self.ends = [0]
         self.file = tempfile.SpooledTemporaryFile(SPOOLED)  # noqa: SIM115  closed with the object
-        self.words = Words()
 
     def add(self, text: str | None, label: int) -> None:
-        if len(self.words) > MEMORY_WORDS:
-            self.words = Words()
-        found, n = document_features(text, self.words)
+        found, n = document_features(text)
         self.file.write(found.astype(np.int32).tobytes() + n.tobytes())
         self.ends.append(self.ends[-1] + len(found))
         self.labels.append(label)
@@ -123,22 +132,23 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rate
     return learn(docs, epochs, rate)
 
 
-def learn(docs: Examples, epochs: int = EPOCHS, rate: float = RATE) -> Model:
+def learn(docs: Examples, epochs: int = EPOCHS, rate: float = RATE, order: np.ndarray | None = None) -> Model:
     """Embeddings and softmax layer by stochastic gradient descent.
 
+    ``order`` names the examples in an order that does not hang on how they came.
     With no example of one of the classes there is nothing to learn: every
     document then scores the other class's certainty (one half without any).
     """
     y = np.array(docs.labels)
     if len(set(docs.labels)) < 2:
-        return Model(np.zeros(BUCKETS), 0.0 if not len(y) else (20.0 if y[0] == 1 else -20.0))
-    docs.words = Words()
+        return Model(np.zeros(BUCKETS), 0.0 if not len(y) else (20.0 if y[0] == 1 else -20.0), False)
     rng = np.random.default_rng(SEED)
     table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     out, bias = np.zeros((2, DIM)), np.zeros(2)
     steps, done = epochs * len(y), 0
     for _ in range(epochs):
-        for i in rng.permutation(len(y)):
+        for place in rng.permutation(len(y)):
+            i = place if order is None else order[place]
             found, n = docs[i]
             step = rate * (1 - done / steps)
             done += 1
@@ -162,44 +172,42 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self._forget()
-
-    def _forget(self) -> None:
-        self.words = Words()
-        self.sums = np.zeros(1 << 14)
-        self.sizes = np.zeros(1 << 14)
-        self.hashes = np.zeros(1 << 14, np.uint64)
-        self.known = 0
-
-    def _grow(self) -> None:
-        n = len(self.words)
-        if n > len(self.sums):
-            more = max(n, 2 * len(self.sums)) - len(self.sums)
-            self.sums = np.concatenate([self.sums, np.zeros(more)])
-            self.sizes = np.concatenate([self.sizes, np.zeros(more)])
-            self.hashes = np.concatenate([self.hashes, np.zeros(more, np.uint64)])
-        new = self.words.features[self.known :]
-        sizes = np.array([len(f) for f in new])
-        flat = np.frombuffer(b"".join(new), np.int32)
-        self.sums[self.known : n] = np.add.reduceat(self.model.weights[flat], np.cumsum(sizes) - sizes)
-        self.sizes[self.known : n] = sizes
-        self.hashes[self.known : n] = self.words.hashes[self.known :]
-        self.words.features[self.known :] = [()] * (n - self.known)
-        self.known = n
+        self.words = pa.array([], pa.binary())
+        self.facts = np.empty((2, 0))  # of each word: sum of its features' numbers, how many
+
+    def _facts(self, distinct: pa.Array) -> np.ndarray:
+        at = pc.index_in(distinct, value_set=self.words)
+        new = distinct.filter(pc.is_null(at))
+        place = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        if len(new):
+            place[at.is_null().to_numpy(zero_copy_only=False)] = len(self.words) + np.arange(len(new))
+            flat, sizes = word_features(new.to_pylist())
+            sums = np.add.reduceat(self.model.weights[flat], np.cumsum(sizes) - sizes)
+            self.words = pa.concat_arrays([self.words, new])
+            self.facts = np.concatenate([self.facts, [sums, sizes]], axis=1)
+        facts = self.facts[:, place]
+        if len(self.words) > MEMORY_WORDS:
+            self.words, self.facts = distinct, facts
+        return facts
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """Score of each text; null and empty texts score the bias alone."""
+        found = words.Words(texts)
+        n = len(found.sizes)
+        total, size = np.zeros(n), np.zeros(n)
+        if len(found.codes):
+            sums, sizes = self._facts(found.distinct)[:, found.codes]
+            own = found.owner()
+            total, size = np.bincount(own, sums, n), np.bincount(own, sizes, n)
+            pairs = self.model.weights[pair_features(found.values())]
+            inside = own[1:] == own[:-1]
+            total += np.bincount(own[1:][inside], pairs[inside], n)
+            size += np.maximum(found.sizes - 1, 0)
+        logit = self.model.bias + total / np.maximum(size, 1)
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
     def score(self, text: str | None) -> float:
-        words = (text or "").split()
-        total, size = 0.0, 0.0
-        if words:
-            if len(self.words) > MEMORY_WORDS:
-                self._forget()
-            rows = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-            if self.known < len(self.words):
-                self._grow()
-            pairs = self.model.weights[pair_features(self.hashes[rows])]
-            total, size = float(self.sums[rows].sum() + pairs.sum()), float(self.sizes[rows].sum() + len(pairs))
-        logit = self.model.bias + (total / size if size else 0.0)
-        return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
+        return float(self.scores(pa.array([text], pa.string()))[0])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -222,11 +230,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", train_do
     place = F.xxhash64("doc_id", "label")
     # drawn by hash first, so that no task sends more than its share
     drawn = usable.where(place <= F.lit(min(int(share * 2**64) - 2**63, 2**63 - 1))).orderBy(place, "doc_id").limit(train_docs)
-    joined = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    examples = Examples()
-    for row in joined.select("doc_id", "text", "label").orderBy("doc_id", "label", "text").toLocalIterator():
+    joined = docs.select("doc_id", "text").join(F.broadcast(drawn.withColumn("place", place)), "doc_id")
+    examples, places = Examples(), []
+    for row in joined.select("doc_id", "text", "label", "place").toLocalIterator():
         examples.add(row.text, row.label)
-    return learn(examples)
+        places.append((row.place, row.doc_id, row.label, xxhash.xxh3_64_intdigest((row.text or "").encode("utf-8", "surrogatepass"))))
+    return learn(examples, order=np.array(sorted(range(len(places)), key=places.__getitem__), np.int64))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -239,13 +248,13 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
+    @common.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = [scorer.score(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"]
-            )
+            for part in common.portions(batch, PORTION):
+                found = pa.array(scorer.scores(part.column(1)), pa.float64())
+                yield pa.RecordBatch.from_arrays([part.column(0), found], names=["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = rows.mapInArrow(run, "doc_id long, score double")
@@ -263,10 +272,11 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
     shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
+    @common.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            good = pa.array([scorer.score(t) >= threshold for t in batch.column(at).to_pylist()], pa.bool_())
-            yield batch.filter(good)
+            for part in common.portions(batch, PORTION):
+                yield part.filter(pa.array(scorer.scores(part.column(at)) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
