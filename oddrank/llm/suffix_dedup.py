@@ -12,7 +12,12 @@ What they cover is told to the chunks that sent the runs.
 
 A gram that is least in one place only is in no repeat; a first exchange of
 counts leaves such runs out. Chunks send equal runs once, so a passage that
-all documents share costs each chunk one entry.
+all documents share costs each chunk one entry. Its edges are another matter:
+there the strings reach into surroundings that differ from document to
+document, and all of them have a gram of the passage. Where a gram has very
+many places, a second exchange, of hashes of the strings, comes before the
+bytes: only strings whose hash recurs anywhere are sent. Hashes leave out, and
+never decide that anything is repeated.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +39,8 @@ CHUNK_BYTES = 2 << 20
 #: Bytes of different runs that one suffix array covers at most, unless a single
 #: group has more.
 ARRAY_BYTES = 1 << 20
+#: Places of a gram from which its strings are looked for by hash before they are sent.
+HOT_PLACES = 8192
 
 
 class Chunk:
@@ -44,12 +53,13 @@ class Chunk:
         self.begins = np.concatenate([[0], np.cumsum(self.sizes)])
         self.bytes = np.frombuffer(b"".join(self.bodies), np.uint8)
         n = len(self.bytes)
-        self.hashes = words.Runs(self.bytes.astype(np.uint64) + np.uint64(1))
+        self.hashes = words.Rolling(self.bytes.astype(np.uint64) + np.uint64(1))
         grams = self.hashes.of(GRAM)
         doc = np.repeat(np.arange(len(self.ids)), self.sizes)
         within = self.begins[doc + 1] - np.arange(n) >= length
+        self.length = length
         self.first = self.last = np.empty(0, np.int64)
-        self.key = np.empty(0, np.uint64)
+        self.key = self.least = np.empty(0, np.uint64)
         self.grams = grams
         if within.any():
             least = _sliding_least(grams, length - GRAM + 1)
@@ -60,28 +70,55 @@ class Chunk:
             at = np.flatnonzero(cut)
             self.first = starts[at]
             self.last = starts[np.append(at[1:], len(starts)) - 1]
-            self.key = value[at]
+            self.least = value[at]
+            # least hashes are small numbers: mixed again, they spread over the buckets
+            self.key = common.mix64(self.least)
         self.end = self.last + length
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """The runs' keys and how many positions have each as their gram (1, or 2 for more)."""
-        unique = np.unique(self.key)
+        """The runs' keys, ascending, and how many positions have each as their gram."""
+        unique = np.unique(self.least)
         if not len(unique):
-            return unique, np.empty(0, np.uint8)
+            return unique, np.empty(0, np.uint32)
         seen = np.zeros(1 << 20, bool)
         mask = np.uint64((1 << 20) - 1)
         seen[unique & mask] = True
         close = self.grams[seen[self.grams & mask]]
         at = exchange.member(close, unique)
         n = np.bincount(at[at >= 0], minlength=len(unique))
-        return unique, np.minimum(n, 2).astype(np.uint8)
+        keys = common.mix64(unique)
+        order = np.argsort(keys)
+        return keys[order], n[order].astype(np.uint32)
+
+    def starts(self, runs: np.ndarray) -> np.ndarray:
+        """All starts of strings in some runs, run after run."""
+        n = self.last[runs] - self.first[runs] + 1
+        return np.repeat(self.first[runs] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+    def narrow(self, hot: np.ndarray, recurring: np.ndarray) -> None:
+        """Cut the runs of hot keys down to stretches of starts whose string's hash recurs."""
+        if not len(hot):
+            return
+        is_hot = exchange.member(self.key, hot) >= 0
+        runs = np.flatnonzero(is_hot)
+        starts = self.starts(runs)
+        keep = exchange.member(self.hashes.of(self.length, starts), recurring) >= 0
+        run = np.repeat(runs, self.last[runs] - self.first[runs] + 1)[keep]
+        starts = starts[keep]
+        new = np.ones(len(starts), bool)
+        new[1:] = (starts[1:] != starts[:-1] + 1) | (run[1:] != run[:-1])
+        at = np.flatnonzero(new)
+        first, last = starts[at], starts[np.append(at[1:], len(starts)) - 1] if len(at) else starts
+        self.first = np.concatenate([self.first[~is_hot], first])
+        self.last = np.concatenate([self.last[~is_hot], last])
+        self.key = np.concatenate([self.key[~is_hot], self.key[run[at]]])
+        self.end = self.last + self.length
 
     def contents(self, runs: np.ndarray) -> np.ndarray:
-        """Hash of the bytes of each run and their number."""
-        a, b = self.first[runs], self.end[runs]
-        inverse = words.powers(words.INVERSE, max(1, len(self.bytes)))
-        raw = (self.hashes.prefix[b] - self.hashes.prefix[a]) * inverse[a]
-        return common.mix64(common.mix64(raw) ^ (b - a).astype(np.uint64))
+        """Hash of the bytes of each run."""
+        data = memoryview(self.bytes)
+        spans = zip(self.first[runs].tolist(), self.end[runs].tolist(), strict=True)
+        return np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in spans), np.uint64, len(runs))
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -100,25 +137,55 @@ def _tell_counts(chunk_id: int, table: pa.Table, length: int, buckets: int) -> p
     return exchange.packed(rows, ["bucket", "chunk", "keys", "counts"])
 
 
-def _answer_counts(table: pa.Table) -> pa.Table:
-    """To each chunk: those of its keys that more than one position has."""
+#: What chunks are told: keys that recur (kind 0), keys of hot grams (1), hashes of strings that recur (2), and of
+#: repeats (3) the run's content and the spans in it.
+ANSWER = "chunk int, kind int, keys binary, begins binary, ends binary"
+
+
+def _answers(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+    made = [pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.int32(), *[pa.binary()] * 3], strict=True)]
+    return pa.Table.from_arrays(made, names=["chunk", "kind", "keys", "begins", "ends"])
+
+
+def _told(answers: pa.Table, kind: int, column: str = "keys", dtype: str = "<u8") -> np.ndarray:
+    own = answers.filter(pa.compute.equal(answers.column("kind"), kind))
+    return exchange.joined(own, column, dtype)[0]
+
+
+def _answer_counts(table: pa.Table, kind: int, hot: int | None) -> pa.Table:
+    """To each chunk: those of its keys that more than one position has, and those that ``hot`` positions have."""
     keys, sizes = exchange.joined(table, "keys", "<u8")
-    counts = exchange.joined(table, "counts", "u1")[0].astype(np.int64)
+    counts = exchange.joined(table, "counts", "<u4")[0].astype(np.int64)
     order, begins = exchange.grouped(keys)
     rows = []
     if len(keys):
-        again = exchange.spread(np.add.reduceat(counts[order], begins) > 1, begins, order)
+        total = exchange.spread(np.add.reduceat(counts[order], begins), begins, order)
         ends = np.cumsum(sizes)
         for chunk, lo, hi in zip(table.column("chunk").to_pylist(), ends - sizes, ends, strict=True):
-            if again[lo:hi].any():
-                rows.append((chunk, keys[lo:hi][again[lo:hi]]))
-    return exchange.packed(rows, ["chunk", "keys"])
+            own, n = keys[lo:hi], total[lo:hi]
+            if (n > 1).any():
+                rows.append((chunk, kind, own[n > 1].tobytes(), b"", b""))
+            if hot is not None and (n >= hot).any():
+                rows.append((chunk, 1, own[n >= hot].tobytes(), b"", b""))
+    return _answers(rows)
+
+
+def _tell_strings(chunk_id: int, table: pa.Table, answers: pa.Table, length: int, buckets: int) -> pa.Table:
+    """Hashes of the strings with a hot gram, each once with how often it occurs."""
+    chunk = Chunk(table, length)
+    runs = np.flatnonzero(exchange.member(chunk.key, np.sort(_told(answers, 1))) >= 0)
+    keys, n = np.unique(chunk.hashes.of(length, chunk.starts(runs)), return_counts=True)
+    n = n.astype(np.uint32)
+    rows = [(b, chunk_id, keys[s], n[s]) for b, s in exchange.bucket_slices(keys, buckets)]
+    return exchange.packed(rows, ["bucket", "chunk", "keys", "counts"])
 
 
 def _tell_runs(chunk_id: int, table: pa.Table, answers: pa.Table, length: int, buckets: int) -> pa.Table:
     """Each different run of the wanted keys once, with its bytes and how often it occurs."""
-    wanted = np.sort(exchange.joined(answers, "keys", "<u8")[0])
+    wanted = np.sort(_told(answers, 0))
     chunk = Chunk(table, length)
+    chunk.narrow(np.sort(_told(answers, 1)), np.sort(_told(answers, 2)))
     runs = np.flatnonzero(exchange.member(chunk.key, wanted) >= 0)
     content = chunk.contents(runs)
     order = np.lexsort((content, chunk.key[runs]))
@@ -145,9 +212,8 @@ def _find_repeats(table: pa.Table, length: int) -> pa.Table:
     sizes = exchange.joined(table, "sizes", "<u4")[0].astype(np.int64)
     bodies = exchange.joined(table, "bodies", "u1")[0]
     at = np.concatenate([[0], np.cumsum(sizes)])
-    names = ["chunk", "contents", "begins", "ends"]
     if not len(keys):
-        return exchange.packed([], names)
+        return _answers([])
     order = np.lexsort((content, keys))
     k, c = keys[order], content[order]
     begins = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])]))
@@ -191,8 +257,8 @@ def _find_repeats(table: pa.Table, length: int) -> pa.Table:
         n = np.array([len(s) for s in own])
         if n.any():
             flat = np.concatenate(own).astype(np.uint32)
-            rows.append((chunk, np.repeat(content[lo:hi], n), flat[:, 0].copy(), flat[:, 1].copy()))
-    return exchange.packed(rows, names)
+            rows.append((chunk, 3, np.repeat(content[lo:hi], n).tobytes(), flat[:, 0].tobytes(), flat[:, 1].tobytes()))
+    return _answers(rows)
 
 
 def _candidates(bodies: np.ndarray, at: np.ndarray, sizes: np.ndarray, sample: np.ndarray, length: int) -> np.ndarray:
@@ -202,7 +268,7 @@ def _candidates(bodies: np.ndarray, at: np.ndarray, sizes: np.ndarray, sample: n
     where = np.arange(ends[-1]) - np.repeat(ends - own, own)
     flat = bodies[np.repeat(at[sample], own) + where]
     starts = np.flatnonzero(where + length <= np.repeat(own, own))
-    hashes = words.Runs(flat.astype(np.uint64) + np.uint64(1)).of(length, starts)
+    hashes = words.Rolling(flat.astype(np.uint64) + np.uint64(1)).of(length, starts)
     order = np.argsort(hashes)
     same = hashes[order][1:] == hashes[order][:-1]
     again = starts[order[np.append(same, False) | np.insert(same, 0, False)]]
@@ -212,12 +278,12 @@ def _candidates(bodies: np.ndarray, at: np.ndarray, sizes: np.ndarray, sample: n
 
 
 def _cut(table: pa.Table, answers: pa.Table, length: int, with_text: bool) -> pa.Table:
-    content = exchange.joined(answers, "contents", "<u8")[0]
-    begin = exchange.joined(answers, "begins", "<u4")[0].astype(np.int64)
-    end = exchange.joined(answers, "ends", "<u4")[0].astype(np.int64)
+    content = _told(answers, 3)
+    begin, end = (_told(answers, 3, c, "<u4").astype(np.int64) for c in ("begins", "ends"))
     order = np.argsort(content, kind="stable")
     content, begin, end = content[order], begin[order], end[order]
     chunk = Chunk(table, length)
+    chunk.narrow(np.sort(_told(answers, 1)), np.sort(_told(answers, 2)))
     edge = np.zeros(len(chunk.bytes) + 1, np.int64)
     if len(content):
         runs = np.arange(len(chunk.first))
@@ -265,14 +331,20 @@ def removed_bytes(
         F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("body"),
     )
     chunks = common.chunk_count(src, "body", CHUNK_BYTES)
-    spread = F.struct("doc_id", F.substring("body", 1, 64))
+    spread = F.struct("doc_id", "body")
     by_chunk = src.select(common.chunk_of(spread, chunks).alias("chunk"), "doc_id", "body").groupBy("chunk")
 
     def tell_counts(key: tuple, table: pa.Table) -> pa.Table:
         return _tell_counts(key[0].as_py(), table, length, chunks)
 
     def answer_counts(key: tuple, table: pa.Table) -> pa.Table:
-        return _answer_counts(table)
+        return _answer_counts(table, 0, HOT_PLACES)
+
+    def tell_strings(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        return _tell_strings(key[0].as_py(), table, answers, length, chunks)
+
+    def answer_strings(key: tuple, table: pa.Table) -> pa.Table:
+        return _answer_counts(table, 2, None)
 
     def tell_runs(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         return _tell_runs(key[0].as_py(), table, answers, length, chunks)
@@ -283,18 +355,20 @@ def removed_bytes(
     def cut(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         return _cut(table, answers, length, with_text)
 
-    again = (
-        by_chunk.applyInArrow(tell_counts, "bucket int, chunk int, keys binary, counts binary")
-        .groupBy("bucket")
-        .applyInArrow(answer_counts, "chunk int, keys binary")
+    told = "bucket int, chunk int, keys binary, counts binary"
+    again = common.written(
+        by_chunk.applyInArrow(tell_counts, told).groupBy("bucket").applyInArrow(answer_counts, ANSWER), "recurring-grams"
     )
+    narrowed = again.where("kind = 1")
+    if narrowed.limit(1).count():
+        strings = by_chunk.cogroup(narrowed.groupBy("chunk")).applyInArrow(tell_strings, told)
+        found = common.written(strings.groupBy("bucket").applyInArrow(answer_strings, ANSWER), "recurring-strings")
+        again, narrowed = again.unionByName(found), narrowed.unionByName(found)
     runs = by_chunk.cogroup(again.groupBy("chunk")).applyInArrow(
         tell_runs,
         "bucket int, chunk int, keys binary, contents binary, times binary, sizes binary, bodies binary",
     )
-    repeats = runs.groupBy("bucket").applyInArrow(
-        find_repeats, "chunk int, contents binary, begins binary, ends binary"
-    )
+    repeats = runs.groupBy("bucket").applyInArrow(find_repeats, ANSWER).unionByName(narrowed)
     return by_chunk.cogroup(repeats.groupBy("chunk")).applyInArrow(
         cut,
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "

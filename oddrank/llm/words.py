@@ -105,45 +105,3 @@ class Rolling:
             count = max(0, self.n - length + 1)
             return common.mix64((self.prefix[length : length + count] - self.prefix[:count]) * inverse[:count])
         return common.mix64((self.prefix[at + length] - self.prefix[at]) * inverse[at])
-
-
-#: Distinct words that a worker remembers before it starts afresh.
-MEMORY_WORDS = 300_000
-
-
-class WordHashes(dict):
-    """Word (bytes) -> 64-bit hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMORY_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def split(text: str | None, lower: bool = False) -> list[bytes]:
-    """Words as UTF-8; ``lower`` maps A-Z only."""
-    if not text:
-        return []
-    raw = text.encode("utf-8", "surrogatepass")
-    return (raw.lower() if lower else raw).split()
-
-
-class Runs:
-    """Hashes of runs of any length in a sequence of 64-bit values."""
-
-    def __init__(self, values: np.ndarray) -> None:
-        self.n = len(values)
-        self.prefix = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(values * powers(BASE, self.n), out=self.prefix[1:])
-
-    def of(self, length: int, at: np.ndarray | None = None) -> np.ndarray:
-        """Hash of the run of ``length`` at every start (or those in ``at``)."""
-        inverse = powers(INVERSE, max(1, self.n))
-        if at is None:
-            count = max(0, self.n - length + 1)
-            return common.mix64((self.prefix[length : length + count] - self.prefix[:count]) * inverse[:count])
-        return common.mix64((self.prefix[at + length] - self.prefix[at]) * inverse[at])
