@@ -1,13 +1,19 @@
 """Main text of web pages by two-pass block rules.
 
 The first pass cuts a page into blocks and decides those it can: a block in a
-menu, header, footer, sidebar, form, notice, advert or comment section, or one
-that is mostly links, is boilerplate; a block of some length is content if it
-stands in the article, or else if stop words are dense enough in it. Short
-blocks stay open. In the second pass an open block takes the label of its
-nearest decided neighbours: inside the article only neighbours there count and
-a block without any is content; elsewhere both sides must agree, or the nearer
-one decides.
+menu, header, footer, sidebar, form, notice, advert or comment section, one
+that says no more than a label of such a section, or one that is mostly links,
+is boilerplate; a block of some length is content if stop words are dense
+enough in it, and outside any article boilerplate if they aren't. All others,
+the short ones above all, stay open. In the second pass an open block takes
+the label of its nearest decided neighbours.
+
+Inside the article its own blocks alone are neighbours, those of sections that
+were taken out of it are not, and its edges count as content: an open block
+there is boilerplate where both neighbours are, else content. Outside any
+article both sides must agree, or the nearer one decides. Where the article
+has a block that is content by itself, nothing outside belongs to the text;
+else long blocks outside are judged as on a page without an article.
 """
 
 from __future__ import annotations
@@ -42,7 +48,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp "
     "small span strike strong sub sup time tt u var wbr".split()
 )
-#: Words of class, id and role values that mark a container as boilerplate.
+# Names of class, id and role that mark a container as boilerplate.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments "
     "complementary consent contentinfo cookie cookies disqus footer form gdpr header login masthead menu modal nav "
@@ -50,6 +56,23 @@ MARKS = frozenset(
     "reply responses search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar "
     "topbar widget widgets".split()
 )
+# Words that such a name can have beside a mark and still be one (``left-sidebar``, ``ad-slot``).
+BESIDE = frozenset(
+    "alert area bar block bottom box button buttons column container content cloud global icons inner item items left "
+    "level link links list main message mobile nav outer page panel policy posts primary right row secondary section site "
+    "slot sticky strip sub text thread top unit user wrap wrapper zone".split()
+)
+# Words that go with names of comment sections only.
+COMMENTS, OF_ARTICLE = frozenset("comment comments disqus replies responses".split()), frozenset("article entry post story".split())
+# Blocks that say only this are labels of adverts and of buttons.
+LABELS = frozenset(
+    (
+        "advertisement|advertisements|advert|ad|sponsored|sponsored content|promoted|promoted content|share|share this|"
+        "share this article|share this page|share this post|tweet|print|email|subscribe|subscribe now|sign up|log in|login|"
+        "read more|read also|related|related articles|related posts|leave a comment|leave a reply|comments|no comments|"
+        "skip to content|back to top|continue reading|anzeige|werbung|publicité|publicidad|anuncio"
+    ).split("|")
+)
 #: Containers of comments and of other articles' teasers: an article or main element in them is part of them.
 CLOSED = frozenset("comment comments disqus promoted related replies reply responses sponsored".split())
 #: Blocks under so many characters are left to the second pass.
@@ -65,8 +88,6 @@ _TOKEN = re.compile(
 )
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _PARTS = re.compile(r"[a-z]+")
-#: A first word that says what a name with a mark at its end has, lacks or lays out around itself.
-_ABOUT = frozenset("has have is no not non with without hide hidden show toggle uses".split())
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -80,14 +101,17 @@ class Block:
 
 
 def _marked(attributes: str, marks: frozenset[str] = MARKS) -> bool:
-    """Whether a name in class, id or role is a mark, or starts or ends with one as a term of its own.
+    """Whether a whole name in class, id or role is a mark.
 
-    ``ad-slot`` and ``left-sidebar`` are marks, ``has-sidebar`` and ``no-comments`` are about something else.
+    A name of several terms is one if each of them is a mark or a word that goes
+    with marks: ``ad-slot`` and ``left-sidebar`` are, ``entry-header``,
+    ``has-sidebar`` and ``search-results`` are about something else.
     """
     for _, a, b, c in _NAMED.findall(attributes):
         for name in (a or b or c).lower().split():
-            parts = _PARTS.findall(name)
-            if parts and parts[0] not in _ABOUT and (parts[0] in marks or parts[-1] in marks):
+            parts = [p for p in _PARTS.findall(name) if len(p) > 1 or len(name) == 1]
+            beside = BESIDE | OF_ARTICLE if COMMENTS.intersection(parts) else BESIDE
+            if any(p in marks for p in parts) and all(p in MARKS or p in beside for p in parts):
                 return True
     return False
 
@@ -175,44 +199,52 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
+def judge(block: Block) -> bool | None:
+    """First pass: whether the block is content by itself, None if that can't be said."""
+    letters = len("".join(block.text.split()))
+    if block.dropped or block.link_chars > LINK_DENSITY * letters:
+        return False
+    if " ".join(_LETTERS.findall(block.text.lower())) in LABELS:
+        return False
+    if len(block.text) < SHORT:
+        return None
+    spoken = [w.lower() for w in _LETTERS.findall(block.text)]
+    if spoken and sum(w in STOP_WORDS for w in spoken) >= STOP_DENSITY * len(spoken):
+        return True
+    return None if block.in_article else False
+
+
 def classify(found: list[Block]) -> list[Block]:
     """Sets ``content`` of every block; see the module's description."""
-    for b in found:
-        letters = len("".join(b.text.split()))
-        if b.dropped or b.link_chars > LINK_DENSITY * letters:
-            b.content = False
-        elif len(b.text) < SHORT:
-            b.content = None
-        elif b.in_article:
-            b.content = True
-        else:
-            words = [w.lower() for w in _LETTERS.findall(b.text)]
-            stops = sum(w in STOP_WORDS for w in words)
-            b.content = bool(words) and stops >= STOP_DENSITY * len(words)
-    decided = [b.content for b in found]
+    decided = [judge(b) for b in found]
     article = any(b.in_article and not b.dropped for b in found)
-    for i, b in enumerate(found):
-        if decided[i] is None:
-            b.content = _inherit(found, decided, i, article)
-        elif article and not b.in_article:
-            b.content = False
+    alone = any(b.in_article and d for b, d in zip(found, decided, strict=True))
+    for b, d in zip(found, decided, strict=True):
+        b.content = bool(d) and (b.in_article or not alone)
+    inside = [i for i, b in enumerate(found) if b.in_article and not b.dropped]
+    for i, before, after in _neighbours(decided, inside):
+        found[i].content = before is None or after is None or bool(decided[before] or decided[after])
+    if not article:
+        for i, before, after in _neighbours(decided, list(range(len(found)))):
+            near = [j for j in (before, after) if j is not None]
+            # of two the nearer one, of two as near the first
+            found[i].content = bool(decided[min(near, key=lambda j: abs(j - i))]) if near else True
     return found
 
 
-def _inherit(found: list[Block], decided: list[bool | None], at: int, article: bool) -> bool:
-    if found[at].in_article:
-        return True  # of its neighbours in the article those that aren't dropped or links are content
-    if article:
-        return False
-    before = next((j for j in range(at - 1, -1, -1) if decided[j] is not None), None)
-    after = next((j for j in range(at + 1, len(found)) if decided[j] is not None), None)
-    if before is None and after is None:
-        return True
-    if before is None or after is None:
-        return bool(decided[after if before is None else before])
-    if decided[before] == decided[after]:
-        return bool(decided[before])
-    return bool(decided[before if at - before <= after - at else after])
+def _neighbours(decided: list[bool | None], among: list[int]) -> Iterator[tuple[int, int | None, int | None]]:
+    """Each open block of ``among`` with its nearest decided ones before and after in it."""
+    after: list[int | None] = []
+    last = None
+    for i in reversed(among):
+        last = i if decided[i] is not None else last
+        after.append(last)
+    last = None
+    for i, following in zip(among, reversed(after), strict=True):
+        if decided[i] is None:
+            yield i, last, following
+        else:
+            last = i
 
 
 def main_text(page: str | None) -> str:
