@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from oddrank.llm import common
 
-#: Sub-ranges over which the copies of one text are spread.
+#: Sub-ranges over which the copies of one text are spread at least; more on a
+#: cluster with more shuffle partitions.
 SALTS = 64
 
 #: Characters of a text in the range key. Splitters are sampled to the driver, so
@@ -30,7 +31,7 @@ def exact_groups(
     text_col: str = "text",
     normalise=None,
     keep: str = "max",
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
@@ -43,6 +44,7 @@ def exact_groups(
     returned and exactly one of them is marked kept; an empty table gives no
     rows; extra columns of the input are ignored, whatever their names.
     """
+    salts = salts or max(SALTS, common.partitions(docs.sparkSession))
     raw = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     src = docs.select(
         docs[id_col].alias("id"),
