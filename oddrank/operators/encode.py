@@ -11,11 +11,13 @@ import math
 from collections import Counter
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddrank.functions import columns as fx
+from oddrank.operators import ranks
 
 TIME_PARTS = {
     "hour": F.hour,
@@ -25,9 +27,12 @@ TIME_PARTS = {
     "year": F.year,
     "quarter": F.quarter,
 }
-#: Values of a frequency encoding that are written into the projection; more are joined.
-MAP_VALUES = 2000
+#: Values of a frequency encoding that are written into the projection, where a map
+#: is searched one by one; more are joined.
+MAP_VALUES = 200
 TINY_SPREAD = 1e-12
+#: Pairs of columns that are correlated by expressions.
+FEW_PAIRS = 30
 
 
 @dataclass
@@ -100,9 +105,18 @@ def array_features(name: str, c: Column, numeric: bool = True) -> list[tuple[str
 
 
 def medians(df: DataFrame, cols: list[str]) -> dict[str, float]:
-    """Exact medians in one aggregate."""
-    row = df.agg(*[F.percentile(c, 0.5).alias(c) for c in cols]).first() if cols else None
-    return {c: row[c] for c in cols}
+    """Exact medians of all columns in one plan; None for a column without values."""
+    found = _quantiles(df, cols, [0.5])
+    return {c: found[c][0] if c in found else None for c in cols}
+
+
+def _quantiles(df: DataFrame, cols: list[str], shares: list[float], nearest: bool = False) -> dict[str, list[float]]:
+    """Quantiles of each column: the columns are unpivoted, so one row a column reaches the driver."""
+    if not cols:
+        return {}
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("x")) for c in cols])
+    long = df.select(F.explode(pairs).alias("p")).select("p.*")
+    return {r.feature: list(r.q) for r in ranks.quantiles(long, "x", ["feature"], shares, nearest).collect()}
 
 
 def categories(df: DataFrame, column: str) -> list:
@@ -150,13 +164,10 @@ def demoted(widths: dict[str, int], limit: int) -> list[str]:
 
 def robust_parameters(df: DataFrame, cols: list[str], nearest: bool = False) -> dict[str, tuple[float, float]]:
     """Median and interquartile range of each column; a spread of about zero counts as 1."""
-    if not cols:
-        return {}
-    fn = F.percentile_disc if nearest and hasattr(F, "percentile_disc") else F.percentile
-    row = df.agg(*[fn(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in cols]).first()
+    found = _quantiles(df, cols, [0.25, 0.5, 0.75], nearest)
     out = {}
     for c in cols:
-        q = row[c] or [0.0, 0.0, 0.0]
+        q = found.get(c, [0.0, 0.0, 0.0])
         spread = q[2] - q[0]
         out[c] = (q[1], spread if spread > TINY_SPREAD else 1.0)
     return out
@@ -166,8 +177,10 @@ def standard_parameters(df: DataFrame, cols: list[str]) -> dict[str, tuple[float
     """Mean and sample deviation of values clipped to the 1st and 99th percentile."""
     if not cols:
         return {}
-    edges = df.agg(*[F.percentile(c, F.array(F.lit(0.01), F.lit(0.99))).alias(c) for c in cols]).first()
-    clipped = {c: F.least(F.greatest(F.col(c), F.lit(edges[c][0])), F.lit(edges[c][1])) for c in cols if edges[c]}
+    edges = _quantiles(df, cols, [0.01, 0.99])
+    clipped = {c: F.least(F.greatest(F.col(f"`{c}`"), F.lit(edges[c][0])), F.lit(edges[c][1])) for c in cols if c in edges}
+    if not clipped:
+        return dict.fromkeys(cols, (0.0, 1.0))
     row = df.agg(*[F.struct(F.avg(e), F.stddev_samp(e)).alias(c) for c, e in clipped.items()]).first()
     out = {}
     for c in cols:
@@ -189,12 +202,52 @@ def dummy_scale(distance: float) -> tuple[float, float]:
 # --- correlation -------------------------------------------------------------
 
 
+def moments(df: DataFrame, cols: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows that have both, covariance, variance of the first over these rows) of all pairs of columns.
+
+    Every task sums products of its rows, shifted by the columns' means, so that
+    what is summed in the end is one number for each pair and task.
+    """
+    means = df.agg(*[F.coalesce(F.avg(F.col(f"`{c}`").cast("double")), F.lit(0.0)).alias(str(i)) for i, c in enumerate(cols)]).first()
+    centre, k = np.array([means[str(i)] for i in range(len(cols))]), len(cols)
+
+    def run(batches):
+        import pandas as pd
+
+        total = np.zeros((5, k, k))
+        for pdf in batches:
+            x = pdf.to_numpy(float) - centre
+            there = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            total += np.stack([there.T @ there, x.T @ there, there.T @ x, (x * x).T @ there, x.T @ x])
+        yield pd.DataFrame({"at": np.arange(total.size), "v": total.ravel()})
+
+    src = df.select(*[F.col(f"`{c}`").cast("double").alias(str(i)) for i, c in enumerate(cols)])
+    sums = np.zeros(5 * k * k)
+    for r in src.mapInPandas(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+        sums[r["at"]] = r.v
+    n, x, y, xx, xy = sums.reshape(5, k, k)
+    safe = np.maximum(n, 1)
+    return n, xy / safe - x / safe * (y / safe), xx / safe - (x / safe) ** 2
+
+
 def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
-    """All pairs of columns with their Pearson correlation, one aggregate."""
+    """All pairs of columns with their Pearson correlation; null where one side is constant.
+
+    A few pairs are one aggregate; many would make an expression too large to compile.
+    """
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    row = df.agg(*[fx.correlation(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-    entries = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
-    return row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    if len(pairs) <= FEW_PAIRS:
+        row = df.agg(*[fx.correlation(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+        entries = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
+        return row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    n, both, own = moments(df, cols)
+    rows = []
+    for i, a in enumerate(cols):
+        for j in range(i + 1, len(cols)):
+            spread = math.sqrt(max(own[i, j], 0) * max(own[j, i], 0))
+            rows.append((a, cols[j], float(both[i, j] / spread) if spread > 1e-300 and n[i, j] else None))
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
 def correlation_survivors(pairs: list[tuple[str, str, float]], cols: list[str], threshold: float = 0.95) -> list[str]:

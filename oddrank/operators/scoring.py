@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from oddrank.functions import columns as fx
 from oddrank.operators import ranks
+from oddrank.sources import shared
 
 #: Fit flag rates above this say nothing about a boundary.
 UNINFORMATIVE = 0.5
 #: Points of a stored calibrator, if its column has more than so many distinct scores; else all are kept.
+#: A thinned one is off by one part in ``STORED_POINTS`` at most.
 STORED_POINTS, EXACT_POINTS = 2000, 10_000
 
 
@@ -43,6 +45,18 @@ def calibrators(df: DataFrame, scores: dict[str, str], points: int = STORED_POIN
     return {n: sorted(p) for n, p in out.items()}
 
 
+def check_members(names: list[str], how: str, weights: dict[str, float] | None = None) -> None:
+    """Refuse an ensemble that can't be combined: no member, an unknown way, negative or only zero weights."""
+    if not names or len(set(names)) < len(names):
+        raise ValueError("an ensemble needs members of different names")
+    if how not in ("intersection", "union", "composite"):
+        raise ValueError(f"no combination {how!r}")
+    if weights is not None:
+        own = [weights.get(n, 0.0) for n in names]
+        if any(w < 0 or w != w for w in own) or not sum(own):
+            raise ValueError("manual weights are 0 or more, and one of them is above 0")
+
+
 def calibrate_against(score: Column, points: list[tuple[float, float]]) -> Column:
     """Mid-rank of new scores among stored points: the highest point that isn't above."""
     if not points:
@@ -51,11 +65,12 @@ def calibrate_against(score: Column, points: list[tuple[float, float]]) -> Colum
         return F.when(score == points[0][0], 0.5).when(score > points[0][0], 1.0).otherwise(0.0)
     xs, ys = np.array([x for x, _ in points], float), np.array([0.0, *[y for _, y in points]], float)
 
-    def at(s):
+    @F.pandas_udf("double")
+    def at(s: pd.Series) -> pd.Series:
         below = np.where(s.isna(), 0, np.searchsorted(xs, s.to_numpy(float), "right"))
         return pd.Series(ys[below])
 
-    return F.pandas_udf(at, "double", F.PandasUDFType.SCALAR)(score)
+    return at(score)
 
 
 def combined(cols: list[str], how: str, weights: list[float] | None = None) -> Column:
@@ -114,33 +129,43 @@ def bad_members(df: DataFrame, cols: list[str], row_id: str, floor: float = -0.1
     return bad if len(bad) <= len(cols) - 2 else []
 
 
-def exact_k(df: DataFrame, score: str, row_id: str, rate: float, by: list[str] | None = None, alias: str = "flagged") -> DataFrame:
-    """Exactly round-half-even(rows x rate) flags in each group: highest score first, then lowest id."""
+def exact_k(
+    df: DataFrame, score: str, row_id: str, rate: float, by: list[str] | None = None, alias: str = "flagged", fresh: bool = True
+) -> DataFrame:
+    """Exactly round-half-even(rows x rate) flags in each group: highest score first, then lowest id.
+
+    Without groups the lowest flagged score is found from counts of values, and
+    among the rows tied with it the highest flagged id; both are two numbers in
+    the plan, so no row is joined or numbered. The rows are written first: what
+    is compared with those numbers must be what they were taken from
+    (``fresh=False``: ``df`` is read from a table already).
+    """
     by = by or []
     if by:
-        w = Window.partitionBy(*by)
-        ordered = df.withColumn("__n", F.count(F.lit(1)).over(w)).withColumn(
-            "__r", F.row_number().over(w.orderBy(F.desc(score), row_id))
-        )
-        return ordered.withColumn(alias, F.col("__r") <= F.bround(F.col("__n") * F.lit(rate))).drop("__n", "__r")
-    # without groups the threshold comes from counts of values; only rows tied with it are numbered
-    r = ranks.value_ranks(df, score).select(
-        F.col(score).alias("__s"), F.col("below").alias("__below"), F.col("n").alias("__at"), F.col("total").alias("__total")
-    )
-    marked = df.join(r, df[score] == F.col("__s"), "left").withColumn(
-        "__above", F.col("__total") - F.col("__below") - F.col("__at")
-    ).withColumn("__k", F.bround(F.col("__total") * F.lit(rate)))
-    tied = (F.col("__above") < F.col("__k")) & (F.col("__above") + F.col("__at") > F.col("__k"))
-    nth = F.when(tied, F.row_number().over(Window.partitionBy("__s").orderBy(row_id)))
-    sure = F.col("__above") + F.col("__at") <= F.col("__k")
-    flag = F.coalesce(sure | (F.col("__above") + nth <= F.col("__k")), F.lit(False))
-    return marked.withColumn(alias, flag).drop("__s", "__below", "__at", "__total", "__above", "__k")
+        sizes = df.groupBy(*by).agg(F.bround(F.count(F.lit(1)) * F.lit(rate)).alias("__k"))
+        placed = ranks.numbered(df, by, [F.desc(score), F.col(row_id)], "__r")
+        return ranks.with_group(placed, sizes, by).withColumn(alias, F.col("__r") <= F.col("__k")).select(*df.columns, alias)
+    df = shared.written(df, "scored") if fresh else df
+    row = df.agg(F.count(score).alias("n"), F.bround(F.count(F.lit(1)) * F.lit(rate)).alias("k")).first()
+    n, k = row["n"], int(row["k"])
+    if not k or not n:
+        return df.withColumn(alias, F.lit(False))
+    lowest, below = ranks.value_at(df, score, max(n - k, 0))
+    tied = df.where(F.col(score) == F.lit(lowest))
+    same = tied.count()
+    left = k - (n - below - same)  # flags for the tied rows
+    flag = F.col(score) >= F.lit(lowest)
+    if left < same:
+        last, _ = ranks.value_at(tied, row_id, left - 1)
+        flag = (F.col(score) > F.lit(lowest)) | ((F.col(score) == F.lit(lowest)) & (F.col(row_id) <= F.lit(last)))
+    return df.withColumn(alias, F.coalesce(flag, F.lit(False)))
 
 
 def flag_ranks(df: DataFrame, score: str, row_id: str, by: list[str], flag: str = "flagged", alias: str = "flag_rank") -> DataFrame:
     """1..m in the flagged rows of each group, 0 for the others."""
-    w = Window.partitionBy(*by, flag).orderBy(F.desc(score), row_id)
-    return df.withColumn(alias, F.when(F.col(flag), F.row_number().over(w)).otherwise(0))
+    ranked = ranks.numbered(df.where(F.col(flag)), by, [F.desc(score), F.col(row_id)], alias)
+    rest = df.where(~F.coalesce(F.col(flag), F.lit(False))).withColumn(alias, F.lit(0).cast("long"))
+    return ranked.unionByName(rest)
 
 
 def preview(df: DataFrame, score: str, row_id: str, by: list[str], top: int = 20) -> DataFrame:
@@ -155,4 +180,4 @@ def auto_cut(df: DataFrame, score: str, flags: list[str]) -> float:
     rates = sorted(row[f] or 0.0 for f in flags)
     k = len(rates)
     rate = min(0.5, max(0.001, (rates[(k - 1) // 2] + rates[k // 2]) / 2))
-    return df.agg(F.percentile(score, 1 - rate)).first()[0]
+    return ranks.quantile(df, score, 1 - rate)

@@ -7,7 +7,7 @@ import re
 from pathlib import PurePosixPath
 from urllib.parse import urlsplit, urlunsplit
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FORMATS = {
@@ -63,8 +63,12 @@ def guard_delimiter(spark: SparkSession, path: str, sep: str) -> None:
 
 
 def guard_encoding(spark: SparkSession, path: str) -> None:
-    bad = spark.read.text(path).where(F.col("value").contains("�")).limit(1).count()
-    if bad:
+    """Refuse a file with a line that is no valid UTF-8.
+
+    The lines come as the bytes they are, so the replacement sign is not mistaken
+    for a fault where a text has it.
+    """
+    if spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count():
         raise SourceError(f"{path} is not UTF-8")
 
 
@@ -87,24 +91,26 @@ def read_tsf(spark: SparkSession, path: str) -> DataFrame:
 def with_row_id(df: DataFrame, order: list[str] | None = None, id_column: str | None = None) -> DataFrame:
     """A dense 0-based identity: the declared key, or the place in a declared order.
 
-    The order is dealt into ranges; ranges are numbered by their sizes and rows
-    inside their range, so no task sees all rows.
+    The rows are dealt into ranges of the order and written once, each with its
+    place in its range; range sizes are counted on what was written. (Splitters
+    of ranges are sampled anew whenever a plan runs, so counting the sizes on
+    another branch of the same plan would not fit the places.) Equal rows of the
+    order are told apart by a hash of the whole row, so one value that many rows
+    share fills no range, and no task sees all rows.
     """
     if ROW_ID in df.columns:
         raise SourceError(f"{ROW_ID} is reserved")
     if id_column:
-        return df.withColumn(ROW_ID, F.col(id_column))
-    order = order or df.columns
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
-    inside = ranged.withColumn("__nth", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1)
-    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    return inside.join(F.broadcast(offsets), "__part").withColumn(ROW_ID, (F.col("__offset") + F.col("__nth")).cast("long")).drop("__part", "__nth", "__offset")
+        return df.withColumn(ROW_ID, F.col(f"`{id_column}`"))
+    hashed = [F.to_json(F.struct(f"`{n}`")) if "map<" in t else F.col(f"`{n}`") for n, t in df.dtypes if t != "variant"]
+    from oddrank.operators import ranks
+
+    keys = [*[F.col(f"`{c}`") for c in order or []], F.xxhash64(*hashed)]
+    return ranks.numbered(df, [], keys, ROW_ID, "row-id").withColumn(ROW_ID, F.col(ROW_ID) - 1)
 
 
 def head_rows(df: DataFrame, row_id: str, limit: int) -> DataFrame:
+    """The ``limit`` rows with the least identity."""
     return df.orderBy(row_id).limit(limit)
 
 

@@ -37,15 +37,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again.
+def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, in folders by some columns if wanted, and read it again.
 
     Whatever is built on the result reads the same rows in the same parts, however
     often and from however many branches, and can be recomputed from files when
     an executor is lost.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
