@@ -111,16 +111,13 @@ def auto_bins(rows: int, q25: float, q75: float, low: float, high: float) -> int
 
 def fit_hbos(df: DataFrame, features: list[str]) -> dict[str, Histogram]:
     """Two aggregates: ranges and quartiles, then the counts of all bins of all columns."""
-    quartiles = F.array(F.lit(0.25), F.lit(0.75))
+    spread = {r.feature: list(r.q) for r in ranks.quantiles(unpivot(df, [], features), "x", ["feature"], [0.25, 0.75]).collect()}
     stats = df.agg(
-        *[
-            F.struct(F.min(f), F.max(f), F.percentile(f, quartiles), F.count(f)).alias(str(i))
-            for i, f in enumerate(features)
-        ]
+        *[F.struct(F.min(f"`{f}`"), F.max(f"`{f}`"), F.count(f"`{f}`")).alias(str(i)) for i, f in enumerate(features)]
     ).first()
     bins, spec = [], {}
     for i, f in enumerate(features):
-        low, high, q, n = stats[str(i)]
+        (low, high, n), q = stats[str(i)], spread[f]
         if low == high:
             low, high = low - 0.5, high + 0.5
         k = auto_bins(n, q[0], q[1], *stats[str(i)][:2])
@@ -284,26 +281,37 @@ class KMeansDistance(BatchModel):
                 best = (c, own, cost)
         return best  # type: ignore[return-value]
 
-    @classmethod
-    def choose_k(cls, x: np.ndarray, rng: np.random.Generator, most: int = 8) -> int:
-        """Discrete data: their distinct rows; else the mean of elbow and silhouette choices."""
+    @staticmethod
+    def candidates(x: np.ndarray, most: int = 8) -> list[int]:
+        """Numbers of clusters to choose from; discrete data have one for each distinct row."""
         distinct = len(np.unique(x, axis=0))
         if distinct <= 50 and distinct <= len(x) / 2:
-            return max(1, distinct)
-        ks = list(range(2, min(most, len(x) - 1) + 1))
-        if len(ks) < 2:
-            return ks[0] if ks else 1
+            return [max(1, distinct)]
+        return list(range(2, min(most, len(x) - 1) + 1)) or [1]
+
+    @classmethod
+    def tried(cls, x: np.ndarray, k: int, seed: int) -> tuple[float, float]:
+        """(cost, mean silhouette) of one number of clusters."""
+        rng = np.random.default_rng([seed, k])
         part = rng.choice(len(x), SILHOUETTE_ROWS, replace=False) if len(x) > SILHOUETTE_ROWS else np.arange(len(x))
-        costs, owns = [], []
-        for k in ks:
-            _, own, cost = cls._cluster(x, k, rng, 1)
-            costs.append(cost)
-            owns.append(own[part])
-        quality = cls._silhouettes(x[part], owns)
+        _, own, cost = cls._cluster(x, k, rng, 1)
+        return cost, cls._silhouettes(x[part], [own[part]])[0]
+
+    @staticmethod
+    def chosen(ks: list[int], tried: list[tuple[float, float]]) -> int:
+        """The mean of the elbow of the costs and the best silhouette."""
+        if len(ks) < 2:
+            return ks[0]
+        costs = np.array([c for c, _ in tried])
         line = np.interp(ks, [ks[0], ks[-1]], [costs[0], costs[-1]])
-        elbow, best = ks[int((line - costs).argmax())], ks[int(np.argmax(quality))]
+        elbow, best = ks[int((line - costs).argmax())], ks[int(np.argmax([q for _, q in tried]))]
         return round((elbow + best) / 2)
 
+    @classmethod
+    def choose_k(cls, x: np.ndarray, seed: int, most: int = 8) -> int:
+        ks = cls.candidates(x, most)
+        return cls.chosen(ks, [cls.tried(x, k, seed) for k in ks] if len(ks) > 1 else [])
+
     @classmethod
     def _silhouettes(cls, x: np.ndarray, owns: list[np.ndarray]) -> list[float]:
         """Mean silhouette of each labelling, all from one pass over blocks of distances."""
@@ -326,9 +334,9 @@ class KMeansDistance(BatchModel):
         return [t / len(x) if len(n) > 1 else -1.0 for t, n in zip(totals, sizes, strict=True)]
 
     @classmethod
-    def fit(cls, x: np.ndarray, features: list[str], seed: int, coverage: float = 0.9) -> KMeansDistance:
+    def fit(cls, x: np.ndarray, features: list[str], seed: int, coverage: float = 0.9, k: int | None = None) -> KMeansDistance:
         rng = np.random.default_rng(seed)
-        c, own, _ = cls._cluster(x, min(cls.choose_k(x, rng), len(x)), rng)
+        c, own, _ = cls._cluster(x, min(k or cls.choose_k(x, seed), len(x)), rng)
         sizes = np.bincount(own, minlength=len(c))
         order = np.argsort(-sizes, kind="stable")
         enough = int(np.searchsorted(np.cumsum(sizes[order]), coverage * len(x))) + 1
@@ -463,14 +471,18 @@ class Ecod(BatchModel):
         model.threshold = float(np.percentile(model.score(x), 95))
         return model
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
+    def terms(self, x: np.ndarray) -> np.ndarray:
+        """What each column adds to the score."""
+        out = np.empty(x.shape)
         for f, (values, upto) in enumerate(zip(self.values, self.upto, strict=True)):
             held, below = np.array(values), np.concatenate([[0], upto])
             left = below[np.searchsorted(held, x[:, f], "right")] / self.rows
             right = (self.rows - below[np.searchsorted(held, x[:, f], "left")]) / self.rows
-            total -= np.log(np.clip(np.minimum(left, right), FLOOR, 1.0))
-        return total / len(self.values)
+            out[:, f] = -np.log(np.clip(np.minimum(left, right), FLOOR, 1.0))
+        return out / len(self.values)
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return self.terms(x).sum(1)
 
 
 @dataclass
@@ -498,14 +510,18 @@ class Hbos(BatchModel):
         model.threshold = float(np.percentile(model.score(x), 95))
         return model
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-        for v, (low, high), counts in zip(x.T, self.ranges, self.counts, strict=True):
+    def terms(self, x: np.ndarray) -> np.ndarray:
+        """What each column adds to the score."""
+        out = np.empty(x.shape)
+        for f, (v, (low, high), counts) in enumerate(zip(x.T, self.ranges, self.counts, strict=True)):
             k = len(counts)
             at = np.clip(np.ceil((np.clip(v, low, high) - low) / ((high - low) / k)), 1, k).astype(int) - 1
-            terms = np.array(Histogram(low, high, counts, self.rows).terms())
-            total += np.where((v < low) | (v > high), -math.log(FLOOR), terms[at])
-        return total / len(self.counts)
+            held = np.array(Histogram(low, high, counts, self.rows).terms())
+            out[:, f] = np.where((v < low) | (v > high), -math.log(FLOOR), held[at])
+        return out / len(self.counts)
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return self.terms(x).sum(1)
 
 
 REGISTRY: dict[str, type] = {}
@@ -528,6 +544,58 @@ for _kind in (IsolationForest, KMeansDistance, OneClassSVM, LocalOutlierFactor,
     register(_kind)
 
 
+#: Numbers in the training matrix from which detectors are fitted as tasks of the cluster, one each.
+SPREAD_NUMBERS = 100_000
+
+
+def fit_detectors(spark, x: np.ndarray, features: list[str], caps: dict[str, int], params: dict[str, dict], seed: int) -> dict[str, BatchModel]:
+    """Fit each detector on the first ``caps[name]`` rows of ``x`` (0: all), side by side if there is much to do.
+
+    A task holds one detector's training rows, which the caps bound; the numbers
+    of clusters that k-means chooses from are tasks of their own.
+    """
+    kinds = {n: REGISTRY[n] for n in caps}
+    cut = lambda n: x[: caps[n]] if caps[n] else x
+    if x.size < SPREAD_NUMBERS:
+        return {n: kind.fit(cut(n), features, seed, **params.get(n, {})) for n, kind in kinds.items()}
+    chooses = [n for n, kind in kinds.items() if kind is KMeansDistance and "k" not in params.get(n, {})]
+    ks = {n: KMeansDistance.candidates(cut(n)) for n in chooses}
+    jobs = [(n, None) for n in kinds if n not in chooses] + [(n, k) for n in chooses for k in ks[n] if len(ks[n]) > 1]
+    shared = spark.sparkContext.broadcast((x, kinds, caps, params))
+
+    def work(job: tuple[str, int | None, int | None]):
+        held, kind_of, cap, own = shared.value
+        name, k, best = (*job, None)[:3]
+        rows = held[: cap[name]] if cap[name] else held
+        if k is not None:
+            return KMeansDistance.tried(rows, k, seed)
+        more = own.get(name, {}) | ({"k": best} if best else {})
+        return kind_of[name].fit(rows, features, seed, **more)
+
+    made = dict(zip(jobs, _as_tasks(spark, work, jobs), strict=True))
+    models = {n: made[n, None] for n, k in jobs if k is None}
+    last = [(n, None, KMeansDistance.chosen(ks[n], [made[n, k] for k in ks[n]] if len(ks[n]) > 1 else [])) for n in chooses]
+    models |= {n: m for (n, *_), m in zip(last, _as_tasks(spark, work, last), strict=True)}
+    shared.unpersist()
+    return {n: models[n] for n in caps}
+
+
+def _as_tasks(spark, work, jobs: list) -> list:
+    """``work(job)`` of each job, each in a task; what a task makes goes through Arrow as bytes."""
+    from pyspark import cloudpickle
+
+    if not jobs:
+        return []
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in pdf["id"]:
+                yield pd.DataFrame({"id": [i], "made": [cloudpickle.dumps(work(jobs[i]))]})
+
+    rows = spark.range(0, len(jobs), 1, len(jobs)).mapInPandas(run, "id long, made binary").collect()
+    return [cloudpickle.loads(bytes(r.made)) for r in sorted(rows, key=lambda r: r.id)]
+
+
 def fit_detector(
     name: str, df: DataFrame, row_id: str, features: list[str], seed: int = 42, cap: int | None = None, **params
 ) -> BatchModel:
