@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddrank.functions import columns as fx
+from oddrank.operators import ranks
 
 #: Population that stands for "unknown".
 UNKNOWN = -1
@@ -32,15 +34,15 @@ def expected_days(first: str, last: str, roll_weekend: bool = False):
 
 def rolling_windows(
     tot: DataFrame, reference: str, windows: list[int], group: list[str], low_volume: int = 100, min_prior: int = 10,
-    basis: str = "self_referenced",
+    basis: str = "self_referenced", granularity: str = "day",
 ) -> DataFrame:
-    """Each window of days that ends at ``reference`` against the one before it, over the groups that both have.
+    """Each window of periods that ends at ``reference`` against the one before it, over the groups that both have.
 
     All windows come from one pass: a row goes to every window it lies in, and
     groups are matched by an aggregate, not by a join.
     """
     known = tot.where(F.col("population") != UNKNOWN)
-    age = F.datediff(F.lit(reference), F.to_date("period_label"))
+    age = periods_between(F.col("period_label"), reference, granularity)
     sizes = F.array(*[F.lit(w) for w in sorted(windows)])
     dealt = known.withColumn("age", age).where("age >= 0").withColumn("window_size", F.explode(sizes)).where("age < 2 * window_size")
     side = F.col("age") < F.col("window_size")
@@ -79,10 +81,34 @@ def rolling_windows(
     )
 
 
-def comparability(windows: DataFrame) -> DataFrame:
-    """Codes of what stands against comparing a window with the one before it."""
+def periods_between(label: Column, reference: str, granularity: str) -> Column:
+    """How many periods a label lies before the reference label."""
+    if granularity == "hour":
+        at = [F.unix_timestamp(x, "yyyy-MM-dd'T'HH") for x in (F.lit(reference), label)]
+        return ((at[0] - at[1]) / 3600).cast("int")
+    if granularity == "month":
+        year, month = F.substring(label, 1, 4).cast("int"), F.substring(label, 6, 2).cast("int")
+        return F.lit(int(reference[:4]) * 12 + int(reference[5:7])) - (year * 12 + month)
+    days = F.datediff(F.lit(reference), F.to_date(label))
+    return F.floor(days / 7).cast("int") if granularity == "week" else days
+
+
+def comparability(
+    windows: DataFrame, other_configs: bool = False, versions: int = 1, policies: int = 1, incomplete: tuple[bool, bool] = (False, False)
+) -> DataFrame:
+    """Codes of what stands against comparing a window with the one before it.
+
+    What only the ledger knows is given: whether the span has totals of other
+    configurations, how many library versions and policies its runs had, and
+    whether periods of the current or the prior window are not complete.
+    """
+    known = {
+        "other_config_in_span": other_configs, "mixed_library_versions": versions > 1, "mixed_ensemble_policies": policies > 1,
+        "incomplete_current": incomplete[0], "incomplete_prior": incomplete[1],
+    }
     codes = F.array_compact(
         F.array(
+            *[F.lit(code) for code, so in known.items() if so],
             F.when(F.col("groups_current_only") + F.col("groups_prior_only") > 0, "group_mix_changed"),
             F.when(F.col("low_volume"), "low_volume"),
             F.when(F.col("prior_population") == 0, "no_prior"),
@@ -133,40 +159,43 @@ def psi_band(psi):
 
 def numeric_summary(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     """n, missing, 101 percentiles, mean and population deviation of a field."""
-    steps = F.transform(F.sequence(F.lit(0), F.lit(100)), lambda i: i / F.lit(100.0))
-    return df.groupBy(*by).agg(
-        F.count(column).alias("n"), F.sum(F.col(column).isNull().cast("long")).alias("missing"),
-        F.percentile(column, F.array(*[F.lit(i / 100) for i in range(101)])).alias("percentiles"),
-        F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"),
-    )
+    plain = df.groupBy(*by).agg(
+        F.count(column).alias("n"), F.sum(F.col(column).isNull().cast("long")).alias("missing"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std")
+    )
+    q = ranks.quantiles(df.select(*by, F.col(column).cast("double").alias(column)), column, by, [i / 100 for i in range(101)])
+    q = q.withColumnRenamed("q", "percentiles")
+    joined = ranks.with_group(plain, q, by) if by else plain.crossJoin(F.broadcast(q))
+    return joined.select(*by, "n", "missing", "percentiles", "mean", "std")
+
+
+def share_under(percentiles: list[float], x: float) -> float:
+    """Share of values at or under x, by linear interpolation between stored percentiles."""
+    p = np.asarray(percentiles)
+    lo, hi = np.searchsorted(p, x, "left"), np.searchsorted(p, x, "right")
+    if hi > lo:
+        return hi / len(p) if hi < len(p) else 1.0
+    if lo == 0:
+        return 0.0
+    if lo == len(p):
+        return 1.0
+    return float((lo - 1 + (x - p[lo - 1]) / (p[lo] - p[lo - 1])) / (len(p) - 1))
+
+
+def stability(base: list[float], current: list[float]) -> float:
+    """Stability index of two lists of shares; shares under a floor count as the floor."""
+    p, q = np.maximum(base, PSI_FLOOR), np.maximum(current, PSI_FLOOR)
+    return float(((q - p) * np.log(q / p)).sum())
 
 
 def numeric_psi(base: list[float], current: list[float], base_n: int, cur_n: int, base_missing: int = 0, cur_missing: int = 0) -> float:
     """Stability index of two fields from their 101 percentiles: baseline deciles and a bin for missing values."""
-    import numpy as np
-
-    def below(percentiles: list[float], x: float) -> float:
-        p = np.asarray(percentiles)
-        lo, hi = np.searchsorted(p, x, "left"), np.searchsorted(p, x, "right")
-        if hi > lo:
-            return hi / len(p) if hi < len(p) else 1.0
-        if lo == 0:
-            return 0.0
-        if lo == len(p):
-            return 1.0
-        return (lo - 1 + (x - p[lo - 1]) / (p[lo] - p[lo - 1])) / (len(p) - 1)
-
     edges = sorted({base[i] for i in range(10, 100, 10)})
-    out = 0.0
     shares = []
     for percentiles, n, missing in ((base, base_n, base_missing), (current, cur_n, cur_missing)):
-        cdf = [0.0, *[below(percentiles, e) for e in edges], 1.0]
+        cdf = [0.0, *[share_under(percentiles, e) for e in edges], 1.0]
         present = n / max(n + missing, 1)
         shares.append([*(present * (b - a) for a, b in zip(cdf, cdf[1:], strict=False)), 1 - present])
-    for p, q in zip(*shares, strict=True):
-        p, q = max(p, PSI_FLOOR), max(q, PSI_FLOOR)
-        out += (q - p) * float(np.log(q / p))
-    return out
+    return stability(*shares)
 
 
 def decomposition(rows: DataFrame, group: list[str]) -> DataFrame:
@@ -199,7 +228,6 @@ def contrast_ks(df: DataFrame, flag: str, cols: list[str]) -> DataFrame:
     Counts per distinct value, then one window for each column.
     """
     from oddrank.operators.detectors import unpivot
-    from oddrank.operators import ranks
 
     long = unpivot(df, [flag], cols).where("x IS NOT NULL")
     counts = long.groupBy("feature", "x").agg(

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from oddrank.sources import shared
+
 
 class Ledger:
     """Tables under ``root``; a period's rows are replaced as one partition."""
@@ -13,7 +16,15 @@ class Ledger:
         self.spark, self.root = spark, root.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        return shared.read_keyed(self.spark, f"{self.root}/{name}")
+
+    def rows(self, name: str, config: str, where: str = "true") -> list[str]:
+        """Labels of a table's periods under one configuration, in order; none if there is no such table yet."""
+        try:
+            found = self.table(name)
+        except AnalysisException:
+            return []
+        return [r[0] for r in found.where((F.col("config_hash") == config)).where(where).select("period_label").distinct().orderBy("period_label").collect()]
 
     def replace(self, name: str, df: DataFrame, by: list[str]) -> None:
         """Overwrite only the partitions that ``df`` has: running again gives the same table."""
@@ -42,6 +53,17 @@ def other_configs(totals: DataFrame, config: str, first: str, last: str) -> Data
     )
 
 
+def statistics_for(stats: DataFrame, config: str, labels: list[str]) -> DataFrame:
+    """Period statistics of a set of labels, with their documents' row counts."""
+    held = stats.where((F.col("config_hash") == config) & F.col("period_label").isin(labels))
+    return held.withColumn("n_rows", F.get_json_object("stats", "$.n_rows").cast("long"))
+
+
+def provenance(runs: DataFrame, run_ids: list[str]) -> DataFrame:
+    """Library versions and policy of a set of runs."""
+    return runs.where(F.col("run_id").isin(run_ids)).select("run_id", "library_version", "ensemble_policy")
+
+
 def latest_in_scope(evidence: DataFrame, scope: list[str], when: str, tie: str) -> DataFrame:
     w = Window.partitionBy(*scope).orderBy(F.desc(when), F.desc(tie))
     return evidence.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
