@@ -109,6 +109,41 @@ def decision(p: float, low: float, budget: float, alpha: float = 0.05) -> str:
     return "reject" if low < -budget else "keep"
 
 
+def candidate(rule: str, classes: list[str]) -> dict:
+    """What a candidate rule chooses for a plan whose kept columns have these classes.
+
+    ``discrete-composite@1`` averages on tables of categories only;
+    ``discrete-budget@1`` keeps the default's ranking there and flags exactly the
+    budget's top rows, ``@2`` averages that ranking over five subsamples first.
+    """
+    discrete = bool(classes) and all(c in ("categorical", "boolean") for c in classes)
+    chosen = {"combination": "intersection", "weighting": "equal", "flags": "own", "bags": 1, "data": "discrete" if discrete else "mixed"}
+    if rule not in ("discrete-composite@1", "discrete-budget@1", "discrete-budget@2"):
+        raise ValueError(f"no candidate rule {rule}")
+    if discrete and rule == "discrete-composite@1":
+        chosen["combination"] = "composite"
+    elif discrete:
+        chosen |= {"flags": "top_budget", "bags": 5 if rule.endswith("@2") else 1}
+    return chosen
+
+
+def decide_across(found: dict[str, tuple[list[float], list[float]]], require: str = "any", alpha: float = 0.05, regressions: dict[str, list[str]] | None = None) -> dict:
+    """Whether a candidate does better than the baseline over several datasets.
+
+    ``found``: dataset -> paired metrics of candidate and baseline. The tests are
+    corrected for their number; ``require`` all or any of them to show it, and
+    no dataset may have got worse beyond its bounds (``regressions``).
+    """
+    tests = {d: paired_bootstrap([a - b for a, b in zip(c, base, strict=True)]) for d, (c, base) in found.items()}
+    adjusted = holm({d: t[0] for d, t in tests.items()})
+    better = {d: adjusted[d] <= alpha and float(np.mean(found[d][0])) > float(np.mean(found[d][1])) for d in found}
+    reasons = [f"{d}: {r}" for d, rs in (regressions or {}).items() for r in rs]
+    n = sum(better.values())
+    if not (n == len(better) if require == "all" else n > 0):
+        reasons.insert(0, f"better on {n} of {len(better)} datasets, {require} required")
+    return {"outperforms": not reasons, "improved": better, "adjusted_p": adjusted, "reasons": reasons}
+
+
 def scenario(kind: str, rows: int = 800, odd: int = 40, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Small planted matrices: point, local, clustered, masking, varying_density."""
     rng = np.random.default_rng(seed)

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddrank.config import Config
+from oddrank.functions import columns as fx
 from oddrank.operators import evaluate, scoring
 from oddrank.plans import detection, feature_plan
+from oddrank.sources import shared
 from oddrank.sources.readers import ROW_ID
 
 POLICIES = {"intersection@1": "intersection", "union@1": "union", "composite-equal@1": "composite"}
@@ -21,22 +23,35 @@ def backtest(df: DataFrame, labels: DataFrame, cfg: Config, replicates: int = 5,
     ``labels`` has the row id and y (0 or 1). A policy is adopted if it beats
     the configured one beyond doubt after correction for the number of tries.
     """
-    found: dict[str, list[float]] = {p: [] for p in POLICIES}
+    cut = F.lit(int(share * 2**64) - 2**63)
+    pairs = []
     for r in range(replicates):
         own = replace(cfg, run=replace(cfg.run, seed=cfg.run.seed + r))
-        cut = int(share * 2**64) - 2**63
-        part = df.where(F.xxhash64(F.lit(own.run.seed), ROW_ID) <= F.lit(cut))
-        fitted = detection.fit(part, own)
-        scored = [
-            (k, detection.calibrated(detection.score_all(feature_plan.apply(d, fitted.plan), f.models), f))
-            for k, d, f in detection.parts(part, fitted, own)
-        ]
-        cal = detection.together(scored).join(labels, ROW_ID).persist()
-        names = [f"cal_{n}" for n in cfg.scoring.detectors]
+        part = df.where(F.xxhash64(F.lit(own.run.seed), ROW_ID) <= cut)
+        pairs.append((part, part, own))
+    return _compared(pairs, labels, cfg)
+
+
+def forward(df: DataFrame, labels: DataFrame, cfg: Config, time: str, folds: int = 3, granularity: str = "month") -> dict:
+    """The same on ``folds`` periods, the latest ones: each is scored by what was fitted on all periods before it."""
+    period = fx.period_label(F.col(f"`{time}`"), granularity)
+    found = [r[0] for r in df.select(period.alias("p")).where("p IS NOT NULL").distinct().orderBy("p").collect()]
+    if len(found) <= folds:
+        raise feature_plan.PlanError(f"{folds} folds need {folds + 1} periods, there are {len(found)}")
+    return _compared([(df.where(period < p), df.where(period == p), cfg) for p in found[-folds:]], labels, cfg)
+
+
+def _compared(pairs: list[tuple[DataFrame, DataFrame, Config]], labels: DataFrame, cfg: Config) -> dict:
+    """``pairs``: what to fit on, what to score, and the configuration."""
+    found: dict[str, list[float]] = {p: [] for p in POLICIES}
+    names = [f"cal_{n}" for n in cfg.scoring.detectors]
+    for train, test, own in pairs:
+        fitted = detection.fit(train, own)
+        scored = [(k, detection.calibrated(detection.scored_raw(d, f), f)) for k, d, f in detection.parts(test, fitted, own)]
+        cal = shared.written(detection.together(scored).join(labels, ROW_ID), "backtest")
         for policy, how in POLICIES.items():
-            scored = cal.select(scoring.combined(names, how).alias("s"), "y")
-            found[policy].append(evaluate.ranking_metrics(scored, "s", "y").first()["average_precision"] or 0.0)
-        cal.unpersist()
+            ranked = cal.select(scoring.combined(names, how).alias("s"), "y")
+            found[policy].append(evaluate.ranking_metrics(ranked, "s", "y").first()["average_precision"] or 0.0)
     base = cfg.policy() if cfg.policy() in found else "intersection@1"
     tests = {}
     for policy, values in found.items():
