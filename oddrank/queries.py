@@ -710,6 +710,142 @@ def detection_reasons(spark, d):
     return detection.reasons(o, ranked, fitted, cfg)
 
 
+_RUN = """WITH c AS (SELECT c_custkey AS id, c_mktsegment AS g, c_acctbal AS raw FROM customer),
+m AS (SELECT quantile_cont(raw, 0.5) med, quantile_cont(raw, 0.75) - quantile_cont(raw, 0.25) iqr FROM c),
+x AS (SELECT id, {g} AS g, (raw - med) / iqr AS s FROM c, m),
+e AS (SELECT *, -ln(greatest(least(cume_dist() OVER (PARTITION BY g ORDER BY s), cume_dist() OVER (PARTITION BY g ORDER BY s DESC)), 1e-10)) AS raw_ecod FROM x),
+r AS (SELECT g, min(s) lo, max(s) hi, count(*) n, quantile_cont(s, 0.75) - quantile_cont(s, 0.25) q FROM x GROUP BY g),
+k AS (SELECT *, greatest(10, least(256, CAST(ceil((hi - lo) / (2 * q * pow(n, -1.0 / 3))) AS INT))) k FROM r),
+b AS (SELECT x.g, least(CAST(floor((s - lo) / ((hi - lo) / k)) AS INT), k - 1) bin, count(*) c FROM x JOIN k USING (g) GROUP BY ALL),
+h AS (SELECT e.*, -ln(greatest(coalesce(c, 0) / (n * ((hi - lo) / k)), 1e-10)) AS raw_hbos FROM e JOIN k USING (g)
+  LEFT JOIN b ON b.g = e.g AND bin = greatest(1, least(k, CAST(ceil((s - lo) / ((hi - lo) / k)) AS INT))) - 1),
+y AS (SELECT *, (rank() OVER (PARTITION BY g ORDER BY raw_ecod) - 1 + count(*) OVER (PARTITION BY g, raw_ecod) / 2.0) / count(*) OVER (PARTITION BY g) AS cal_ecod,
+  (rank() OVER (PARTITION BY g ORDER BY raw_hbos) - 1 + count(*) OVER (PARTITION BY g, raw_hbos) / 2.0) / count(*) OVER (PARTITION BY g) AS cal_hbos FROM h),
+z AS (SELECT *, (cal_ecod + cal_hbos) / 2 AS score FROM y),
+f AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, id) AS r, count(*) OVER (PARTITION BY g) AS n FROM z)
+SELECT id AS c_custkey, {out}round(score, 6) AS score, r <= round_even(n * 0.05, 0) AS flagged, CASE WHEN r <= round_even(n * 0.05, 0) THEN r ELSE 0 END AS flag_rank FROM f"""
+
+
+def _customer_run(spark, d, **columns):
+    cfg = Config.from_dict({
+        "columns": {"id_column": "c_custkey", **columns}, "profiling": {"include_only": ["c_acctbal"]},
+        "scoring": {"detectors": ["ecod", "hbos"], "contamination": 0.05, "min_records": 20},
+    })
+    df = readers.with_row_id(_t(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), id_column="c_custkey")
+    return cfg, df, *detection.run_detection(df, cfg)
+
+
+@query(_RUN.format(g="0", out=""))
+def run_detection_distributions(spark, d):
+    """A whole run, from the plan to the ranking, with the two detectors that SQL can express."""
+    ranked = _customer_run(spark, d)[3]
+    return ranked.select(F.col(readers.ROW_ID).alias("c_custkey"), _r("score").alias("score"), "flagged", F.col("flag_rank").cast("long").alias("flag_rank"))
+
+
+@query(_RUN.format(g="g", out="g AS c_mktsegment, "))
+def run_detection_by_group(spark, d):
+    """The same for each group: one plan, but detectors, calibrators, cuts and ranks of the group's own rows."""
+    _, df, _, ranked = _customer_run(spark, d, group_by=["c_mktsegment"])
+    named = ranked.join(df.select(readers.ROW_ID, "c_mktsegment"), readers.ROW_ID)
+    return named.select(
+        F.col(readers.ROW_ID).alias("c_custkey"), "c_mktsegment", _r("score").alias("score"), "flagged", F.col("flag_rank").cast("long").alias("flag_rank")
+    )
+
+
+@query(
+    """WITH c AS (SELECT c_custkey AS id, c_acctbal AS a, CAST(c_nationkey AS DOUBLE) AS b FROM customer),
+t AS (SELECT *, -ln(greatest(least(cume_dist() OVER (ORDER BY a), cume_dist() OVER (ORDER BY a DESC)), 1e-10)) / 2 AS ta,
+  -ln(greatest(least(cume_dist() OVER (ORDER BY b), cume_dist() OVER (ORDER BY b DESC)), 1e-10)) / 2 AS tb FROM c),
+s AS (SELECT *, ta + tb AS raw, count(*) OVER () AS n FROM t),
+y AS (SELECT *, (rank() OVER (ORDER BY round(raw, 9)) - 1 + count(*) OVER (PARTITION BY round(raw, 9)) / 2.0) / n AS score FROM s),
+f AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) <= round_even(n * 0.05, 0) AS flagged, raw > quantile_cont(raw, 0.95) OVER () AS natural_flag FROM y),
+m AS (SELECT median(a) AS ma, median(b) AS mb FROM f WHERE NOT flagged AND NOT natural_flag),
+l AS (SELECT id, 'c_acctbal' AS original_field, ta AS v, CASE WHEN a > ma THEN 'above' WHEN a < ma THEN 'below' ELSE 'same' END AS direction FROM f, m WHERE flagged
+  UNION ALL SELECT id, 'c_nationkey', tb, CASE WHEN b > mb THEN 'above' WHEN b < mb THEN 'below' ELSE 'same' END FROM f, m WHERE flagged)
+SELECT id AS c_custkey, original_field, round(v, 6) AS magnitude, direction, 'ok' AS explain_status, 'exact' AS attribution_kind, 'consensus_normal' AS reference_id FROM l"""
+)
+def explanation_records(spark, d):
+    """Records and statuses of a run's flagged rows, of the detector whose terms are exact."""
+    cfg = Config.from_dict({
+        "columns": {"id_column": "c_custkey"}, "profiling": {"include_only": ["c_acctbal", "c_nationkey"]},
+        "features": {"correlation_reduction": False}, "scoring": {"detectors": ["ecod"], "contamination": 0.05},
+    })
+    df = readers.with_row_id(_t(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), id_column="c_custkey")
+    fitted, ranked = detection.run_detection(df, cfg)
+    rows, records = detection.explain(df, ranked, fitted, cfg)
+    return records.join(rows.select(readers.ROW_ID, "explain_status"), readers.ROW_ID).select(
+        F.col(readers.ROW_ID).alias("c_custkey"), "original_field", _r("contribution_magnitude").alias("magnitude"), "direction",
+        "explain_status", "attribution_kind", "reference_id",
+    )
+
+
+def _scored_batches(df, key, cols, of, names):
+    """Columns ``names`` that ``of`` makes of the matrix of each Arrow batch."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], **dict(zip(names, of(pdf[cols].to_numpy(float)).T, strict=True))})
+
+    return df.mapInPandas(run, f"{key} long, " + ", ".join(f"{n} double" for n in names))
+
+
+@query(
+    _HBOS
+    + """SELECT o_orderkey, round(-ln(greatest(coalesce(c, 0) / (n * ((hi - lo) / k)), 1e-10)) / 2, 6) AS t_price,
+ round(-ln(greatest(coalesce(c, 0) / (n * ((hi - lo) / k)), 1e-10)) / 2 + ln(2.0) / 2, 6) AS t_twice FROM orders CROSS JOIN k
+LEFT JOIN b ON bin = greatest(1, least(k, CAST(ceil((o_totalprice - lo) / ((hi - lo) / k)) AS INT))) - 1"""
+)
+def hbos_contributions(spark, d):
+    """What each of two columns adds to a fitted histogram model's score; one is twice the other, so its bins are twice as wide."""
+    import numpy as np
+
+    cols = ["o_totalprice", "twice"]
+    o = _t(spark, d, "orders").select("o_orderkey", "o_totalprice", (F.col("o_totalprice") * 2).alias("twice"))
+    x = np.column_stack([o.select(*cols).toArrow().column(c).to_numpy() for c in cols])
+    model = det.Hbos.fit(x, cols, 0)
+    t = _scored_batches(o, "o_orderkey", cols, model.terms, ["t_price", "t_twice"])
+    return t.select("o_orderkey", _r("t_price").alias("t_price"), _r("t_twice").alias("t_twice"))
+
+
+_CENTRES = """WITH p AS (SELECT p_partkey, p_retailprice AS a, CAST(p_size AS DOUBLE) AS b FROM part),
+q AS (SELECT *, (a - 1000) * (a - 1000) + (b - 10) * (b - 10) AS d1, (a - 1500) * (a - 1500) + (b - 40) * (b - 40) AS d2 FROM p)
+"""
+
+
+@query(_CENTRES + "SELECT p_partkey, round(abs(a - CASE WHEN d1 <= d2 THEN 1000 ELSE 1500 END) / 100, 6) AS t_price, round(abs(b - CASE WHEN d1 <= d2 THEN 10 ELSE 40 END) / 5, 6) AS t_size FROM q")
+def centroid_terms(spark, d):
+    """Distance from the nearest of two centres, column by column, in robust units."""
+    import numpy as np
+
+    p = _t(spark, d, "part").select("p_partkey", "p_retailprice", F.col("p_size").cast("double").alias("p_size"))
+    of = lambda x: explain.centroid_deviation(x, np.array([[1000.0, 10.0], [1500.0, 40.0]]), np.array([100.0, 5.0]))
+    t = _scored_batches(p, "p_partkey", ["p_retailprice", "p_size"], of, ["t_price", "t_size"])
+    return t.select("p_partkey", _r("t_price").alias("t_price"), _r("t_size").alias("t_size"))
+
+
+@query("SELECT o_orderstatus AS g, [round(quantile_cont(o_totalprice, 0.1), 4), round(quantile_cont(o_totalprice, 0.5), 4), round(quantile_cont(o_totalprice, 0.93), 4)][i] AS q, CAST(i AS INT) AS i FROM orders, (SELECT unnest([1, 2, 3]) AS i) GROUP BY o_orderstatus, i")
+def group_quantiles(spark, d):
+    """Exact quantiles by group from cumulative counts."""
+    q = ranks.quantiles(_t(spark, d, "orders"), "o_totalprice", ["o_orderstatus"], [0.1, 0.5, 0.93])
+    return q.select(F.col("o_orderstatus").alias("g"), F.posexplode("q").alias("at", "v")).select("g", _r("v", 4).alias("q"), (F.col("at") + 1).alias("i"))
+
+
+@query(
+    """WITH p AS (SELECT o_orderstatus AS g, o_orderpriority AS v, count(*) AS c FROM orders GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY c DESC, v) AS r FROM p)
+SELECT g, CAST(sum(c) AS BIGINT) AS n, count(*) AS n_unique, max(CASE WHEN r = 1 THEN v END) AS commonest, CAST(max(CASE WHEN r = 1 THEN c END) AS BIGINT) AS commonest_n FROM r GROUP BY g"""
+)
+def field_statistics(spark, d):
+    """The text side of a period's statistics: commonest values, distinct ones, by group."""
+    from oddrank.plans import trend
+
+    o = _t(spark, d, "orders").select(F.col("o_orderstatus").alias("g"), "o_orderpriority")
+    s = trend.field_statistics(o, ["o_orderpriority"], ["g"])
+    return s.select("g", "n", "n_unique", F.col("top")[0]["value"].alias("commonest"), F.col("top")[0]["n"].alias("commonest_n"))
+
+
 @query(
     """WITH m AS (SELECT covar_pop(l_quantity, l_quantity) a, covar_pop(l_quantity, l_discount * 100) b, covar_pop(l_discount * 100, l_discount * 100) c FROM lineitem),
 e AS (SELECT (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) l1, a + c AS t FROM m) SELECT 'pc_1' AS component, round(l1 / t, 6) AS explained FROM e"""
