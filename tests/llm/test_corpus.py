@@ -8,7 +8,9 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -107,11 +109,24 @@ def test_chat_round_trip(spark):
     assert chat.format_examples(df.limit(0)).count() == 0
 
 
-def test_tokens_are_the_librarys(rows):
-    coder = tokens.encoder(tokens.default_tokenizer())
-    odd = ["  a b", "a  b", " a", "a ", "x \n", "it's I'll 's", "<|endoftext|> a", "é b c", "a\tb c\r\n d", "ñ\U0001f600 x", "a\x1cb \x1c c", "　a b"]
-    for t in [*odd, *(t for _, t in rows)]:
-        assert coder.ids(t).tolist() == coder.whole.encode(t or "", add_special_tokens=False).ids
+def test_tokens_are_the_librarys(rows, monkeypatch):
+    from tokenizers import Tokenizer
+
+    coder, library = tokens.encoder(tokens.default_tokenizer()), Tokenizer.from_file(tokens.default_tokenizer())
+    end = "<|endoftext|>"
+    odd = ["  a b", "a  b", " a", "a ", "x \n", "it's I'll 's", f"{end} a", f"a{end}b {end}{end}", f"a b{end}", "é b c", "a\tb c\r\n d",
+           "ñ\U0001f600 x", "a\x1cb \x1c c", "\u3000a b", "don't 12 34.5 a.b", None, ""]
+    rng = random.Random(1)
+    odd += ["".join(rng.choices(["a", "B", " ", "  ", "\n", ".", "'s", "1", "é", end, "\t", "ß ", " x"], k=rng.randint(0, 12))) for _ in range(400)]
+    texts = [*odd, *(t for _, t in rows)]
+    for long in (tokens.LONG, 40):  # the second cuts texts into parts
+        monkeypatch.setattr(tokens, "LONG", long)
+        ids, sizes = coder.batch(pa.array(texts), end_id=0)
+        for t, own in zip(texts, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+            assert own.tolist() == [*library.encode(t or "", add_special_tokens=False).ids, 0], t
+    monkeypatch.setattr(tokens, "MEMORY_BYTES", 100)
+    assert coder.ids(texts[-2]).tolist() == library.encode(texts[-2], add_special_tokens=False).ids
+    assert not len(coder.batch(pa.array([], pa.string()), 0)[0])
 
 
 def test_token_store(spark, docs, rows, none, tmp_path):
@@ -151,13 +166,13 @@ def test_packing(docs, rows, none):
     pieces = {}
     for r in got:
         pieces.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
-    texts = sorted((str(i), [*coder.ids(t).tolist(), 0]) for i, t in rows)
-    n = sum(len(x) for _, x in texts)
-    assert sum(len(ids) for p in pieces.values() for _, ids in p) == n
-    for (i, size), p in pieces.items():
-        wanted = [x for j, x in texts if j == str(i) and len(x) == size]
-        p.sort()
-        assert sum((ids for _, ids in p), []) == wanted[0] or len(wanted) > 1
+    wanted = {}
+    for i, t in rows:
+        ids = [*coder.ids(t).tolist(), 0]
+        wanted.setdefault((i, len(ids)), []).extend(enumerate(ids))
+    assert pieces.keys() == wanted.keys()
+    for key, p in pieces.items():  # rows that repeat an identifier and a size are read together
+        assert sorted((start + k, x) for start, ids in p for k, x in enumerate(ids)) == sorted(wanted[key])
     seqs = {}
     for r in got:
         seqs.setdefault(r.sequence_id, []).append((r.offset, len(r.ids) // 4))
@@ -299,7 +314,9 @@ def test_repeated_spans_against_brute_force():
             assert set(where) == every and len(every) > 1
 
 
-def test_removed_bytes(docs, rows, none):
+@pytest.mark.parametrize("hot", [8192, 2])
+def test_removed_bytes(docs, rows, none, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_PLACES", hot)
     count = {}
     bodies = [(i, (t or "").encode()) for i, t in rows]
     for _, b in bodies:
@@ -319,27 +336,55 @@ def test_removed_bytes(docs, rows, none):
     assert suffix_dedup.removed_bytes(none).count() == 0
 
 
+def brute_leaks(rows, items):
+    """Pairs of (doc_id, item_id): 80 % of the words agree in some 20 words of the item, or in all of fewer."""
+    low = lambda t: words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    found = set()
+    for i, t in rows:
+        w = low(t)
+        for name, item in items:
+            v = low(item)
+            need = min(20, len(v))
+            for s in range(-len(v), len(w)) if v else ():
+                inside = [0 <= s + k < len(w) for k in range(len(v))]
+                eq = [a and w[s + k] == v[k] for k, a in enumerate(inside)]
+                if any(all(inside[k : k + need]) and 100 * sum(eq[k : k + need]) >= 80 * need for k in range(len(v) - need + 1)):
+                    found.add((i, name))
+    return found
+
+
 def test_decontamination(spark, docs, rows):
     item = " ".join(rows[33][1].split()[40:80]).split()
     item[5], item[20] = "other", "words"
-    bench = spark.createDataFrame(
-        [(1, " ".join(item).upper()), (2, "not in any text at all " * 5), (3, None), (4, "one two"), (5, "")], "item_id long, text string"
-    ).withColumn("label", F.lit(0))
-    got = {r.doc_id: r for r in decontamination.contamination(docs, bench).collect()}
-    brute = set()
-    for i, t in rows:
-        w = words((t or "").lower())
-        v = [x.lower() for x in item]
-        for s in range(-len(v), len(w)):
-            eq = [0 <= s + k < len(w) and w[s + k] == v[k] for k in range(len(v))]
-            inside = [0 <= s + k < len(w) for k in range(len(v))]
-            if any(all(inside[k : k + 20]) and sum(eq[k : k + 20]) >= 16 for k in range(len(v) - 19)):
-                brute.add(i)
-    assert {i for i, r in got.items() if r.contaminated} == brute == {33}
-    assert list(got[33].item_ids) == [1]
+    items = [(1, " ".join(item).upper()), (2, "not in any text at all " * 5), (3, None), (4, "one two"), (5, ""), (4, "one two"), (None, "a b")]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("label", F.lit(0))
+    got = decontamination.contamination(docs, bench).collect()
+    assert len(got) == len(rows)
+    brute = brute_leaks(rows, items)
+    assert {(r.doc_id, x) for r in got for x in r.item_ids} == {p for p in brute if p[1] is not None} == {(33, 1), (28, 4), (31, 4)}
+    assert {r.doc_id for r in got if r.contaminated} == {24, 28, 31, 33}
     left = decontamination.drop_contaminated(docs, bench)
-    assert left.columns == docs.columns and left.count() == len(rows) - 1
+    assert left.columns == docs.columns and left.count() == len(rows) - 4
     assert decontamination.matches(docs, bench.limit(0)).count() == 0
+    assert decontamination.contamination(docs.limit(0), bench).count() == 0
+
+
+def test_decontamination_misses_no_item_of_any_length(spark):
+    rng = random.Random(3)
+    rows, items = [], []
+    for n in range(1, 31):
+        for trial in range(3):
+            v = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+            items.append((100 * n + trial, " ".join(v)))
+            for at in rng.sample(range(n), n * (20, 20, 30)[trial] // 100) if n < 20 or trial < 2 else range(0, n, 4):
+                v[at] = "swapped"
+            rows.append((len(rows), " ".join([*(["left"] * rng.randrange(4)), *v, *(["right"] * rng.randrange(4))])))
+    rows += [(len(rows), " ".join(["left"] * 40)), (None, items[50][1])]
+    want = brute_leaks(rows, items)
+    assert len(want) > 60
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.matches(make(spark, rows), bench).collect()}
+    assert got == want
 
 
 def test_main_text_rules():
@@ -399,6 +444,41 @@ def test_pipeline_stages(spark, tmp_path):
     assert left == set(range(61)) - {3, 7}
 
 
+def test_pipeline_takes_nulls_repeats_and_empty_tables(spark, tmp_path):
+    rng = random.Random(12)
+    texts = [(i, prose(rng, 90)) for i in range(40)]
+    rows = [*texts, (None, prose(rng, 80)), (None, None), (50, None), (51, ""), (3, texts[3][1]), (52, texts[5][1]), *((100 + i, " ".join(["Buy!!! %%%"] * 20)) for i in range(30))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, label string, chunk int"
+    docs = spark.createDataFrame([(i, t, None, None, None, "x", 1) for i, t in rows], schema)
+    labels = [(i, int(i < 100), None) for i, _ in rows if i is not None] + [(None, 1, 1), (7, None, 0)]
+    bench = [(0, None), (1, ""), (None, " ".join(texts[9][1].split()[5:60]))]
+
+    def tables(name, some):
+        at = f"{tmp_path}/{name}"
+        (docs if some else docs.limit(0)).write.parquet(f"{at}/documents.parquet")
+        left = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+        (left if some else left.limit(0)).write.parquet(f"{at}/labels.parquet")
+        held = spark.createDataFrame(bench, "item_id long, text string")
+        (held if some else held.limit(0)).write.parquet(f"{at}/benchmark.parquet")
+        return at
+
+    at = tables("some", True)
+    step, kept = docs, {}
+    for name, stage in corpus_pipeline.STAGES:
+        step = common.written(stage(spark, step, at), "stage")
+        kept[name] = step
+        if name != "packing":
+            assert step.columns == docs.columns
+    left = {str(r.doc_id): r.text or "" for r in kept["decontamination"].collect()}
+    # 5 is a copy of 52, 9 holds a benchmark item; of the rows without a text one stays at most
+    assert left.keys() - {"None", "51"} == {str(i) for i in (*range(40), 52)} - {"5", "9"}
+    assert left["52"] == texts[5][1] and left["None"] == rows[40][1]
+    none = tables("none", False)
+    assert corpus_pipeline.run(spark, none).count() == 0
+    assert quality.fit(docs, spark.read.parquet(f"{none}/labels.parquet")).learned is False
+    assert corpus_pipeline.keep_quality(spark, docs, none).count() == len(rows)
+
+
 def test_registered():
     assert {re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES} == {str(n) for n in range(1, 11)}
 
@@ -430,3 +510,103 @@ def test_a_very_long_text_ends_no_training(spark):
     model = quality.fit(docs, labels)
     scorer = quality.Scorer(model)
     assert scorer.score("good text good text") > 0.5 > scorer.score("poor junk poor junk")
+
+
+def test_a_text_of_millions_of_words(spark):
+    rng = np.random.default_rng(1)
+    names = np.array([f"w{i}" for i in range(50_000)])
+    long = " ".join(names[rng.integers(0, len(names), 5_000_000)])
+    flat, sizes = minhash_dedup.shingle_sets(pa.array([long, "a b c d", None]), 3)
+    assert sizes.tolist() == [len(flat) - 2, 2, 0] and sizes[0] > 4_900_000
+    whole = superminhash.signatures(flat, np.repeat(np.arange(3), sizes), 3, 240)
+    parts = [superminhash.signatures(p, np.zeros(len(p), np.int64), 1, 240)[0] for p in np.array_split(flat[: sizes[0]], 3)]
+    assert (whole[0] == np.minimum.reduce(parts)).all()
+    df = make(spark, [(1, long), (2, long), (3, "a b c d")])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(df, shingle=3, percent=85).collect()}
+    assert got == {1: (sizes[0], 1), 2: (sizes[0], 1), 3: (2, 3)}
+    scores = quality.Scorer(quality.Model(rng.normal(size=quality.BUCKETS), 0.0)).scores(pa.array([long, long]))
+    assert scores[0] == scores[1]
+
+
+def test_scorer_against_plain_sums():
+    rng = random.Random(2)
+    model = quality.Model(np.random.default_rng(2).normal(size=quality.BUCKETS), 0.3)
+    texts = [None, "", " \n", "one", "one one", "it is é ß \U0001f600 ok", *(prose(rng, n) for n in (2, 30, 400)), "one one"]
+    got = quality.Scorer(model).scores(pa.array(texts))
+    one_by_one = [quality.Scorer(model).score(t) for t in texts]
+    assert got.tolist() == pytest.approx(one_by_one)
+    for t, score in zip(texts, got, strict=True):
+        w = [x.encode() for x in words(t)]
+        each = [quality.word_features([x])[0] for x in w]
+        numbers = [model.weights[f].sum() for f in each]
+        hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in w], np.uint64)
+        pairs = model.weights[quality.pair_features(hashes)].sum() if len(w) > 1 else 0.0
+        n = sum(map(len, each)) + max(len(w) - 1, 0)
+        logit = 0.3 + (sum(numbers) + pairs) / n if n else 0.3
+        assert score == pytest.approx(1 / (1 + np.exp(-logit)))
+    assert quality.word_features([b"ab"])[1].tolist() == [1 + 2 + 1]  # the word, <ab ab> and <ab>
+
+
+def test_run_hashes_tell_runs_apart():
+    rng = np.random.default_rng(5)
+    values = rng.integers(0, 3, 4000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    from oddrank.llm import words as w
+
+    for size in (1, 2, 3, 5, 30, 50):
+        got = w.run_hashes(values, size)
+        seen = {}
+        for i in range(len(values) - size + 1):
+            assert seen.setdefault(values[i : i + size].tobytes(), got[i]) == got[i]
+        assert len(set(seen.values())) == len(seen)
+    # sequences that polynomials modulo a power of two can't tell apart
+    thue = np.array([i.bit_count() % 2 for i in range(1 << 12)], np.uint64)
+    assert w.run_hashes(thue, 1 << 11)[0] != w.run_hashes(thue, 1 << 11)[1 << 11]
+    assert len(w.run_hashes(values[:3], 5)) == 0
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    rng = random.Random(21)
+    base = [prose(rng, n) for n in (60, 90, 120, 7, 3)]
+    rows = [(i, prose(rng, rng.randrange(5, 150))) for i in range(50)]
+    for i, text in enumerate(base):  # exact copies, near copies, near copies of near copies
+        w = text.split()
+        changed = [*w[: len(w) // 2], "changed", *w[len(w) // 2 + 1 :]]
+        again = [*changed[: len(w) // 4], "again", *changed[len(w) // 4 + 1 :]]
+        rows += [(60 + 10 * i + k, t) for k, t in enumerate([text, text, " ".join(changed), " ".join(again), text.upper(), text + " end"])]
+    rows += [(200 + i, " ".join(["Buy!!! %%%"] * rng.randrange(5, 30))) for i in range(40)] + [(300, ""), (301, None)]
+    items = [(0, " ".join(rows[4][1].split()[:5])), (1, rows[9][1]), (2, " ".join(base[2].split()[30:70])), (3, "never said anywhere")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, label string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 200)) for i, _ in rows], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    at = str(tmp_path)
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+
+    model = quality.fit(docs, spark.read.parquet(f"{at}/labels.parquet"))
+    good = [(i, t) for i, t in rows if quality.Scorer(model).score(t) >= quality.THRESHOLD]
+    step = common.written(corpus_pipeline.keep_quality(spark, docs, at), "stage")
+    assert ids(step) == sorted(i for i, _ in good) and not any(200 <= i < 240 for i, _ in good) and len(good) >= 70
+
+    last = {}
+    for i, t in good:
+        last[t or ""] = max(i, last.get(t or "", -1))
+    step = common.written(corpus_pipeline.drop_exact_copies(spark, step, at), "stage")
+    single = [(i, t) for i, t in good if last[t or ""] == i]
+    assert ids(step) == sorted(i for i, _ in single)
+
+    step = common.written(corpus_pipeline.drop_near_copies(spark, step, at), "stage")
+    apart = {i for i, _, c in brute_components(single, 5, 80) if c == i}
+    assert ids(step) == sorted(apart) and len(apart) < len(single)
+
+    left = [(i, t) for i, t in single if i in apart]
+    step = common.written(corpus_pipeline.drop_benchmark(spark, step, at), "stage")
+    leaked = {i for i, _ in brute_leaks(left, items)}
+    assert leaked and ids(step) == sorted(apart - leaked)
+
+    coder = tokens.encoder(tokens.default_tokenizer())
+    wanted = {(i, k): x for i, t in left if i not in leaked for k, x in enumerate([*coder.ids(t).tolist(), 0])}
+    got = {}
+    for r in corpus_pipeline.pack_sequences(spark, step, at).collect():
+        for k, x in enumerate(np.frombuffer(r.ids, "<u4").tolist()):
+            assert got.setdefault((r.doc_id, r.start + k), x) == x
+    assert got == wanted
