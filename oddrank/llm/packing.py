@@ -180,7 +180,7 @@ class Shard:
         """BM25 of every tail for all distinct terms of the seed."""
         own = slice(self.begin[seed], self.begin[seed + 1])
         rows, often = self.term_row[own], self.term_often[own]
-        out = self.rows[rows[often]].sum(axis=0, dtype=np.float64)
+        out = self.rows[rows[often]].sum(axis=0).astype(np.float64)
         lists = [self.lists[i] for i in rows[~often].tolist()]
         if lists:
             docs, weights = zip(*lists, strict=True)
