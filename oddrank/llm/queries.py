@@ -145,6 +145,20 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (target), '')) AS loss_sha256,
   CAST(sum(prefix) FILTER (target OR nth = n) AS BIGINT) AS formatted_chars
 FROM prefixes GROUP BY conv_id
+""",
+    "op8_suffix_array_dedup": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+v AS (SELECT doc_id, i, md5(b[i:i + 199]) AS h FROM (SELECT doc_id, b, unnest(range(1, n - 198)) AS i FROM d)),
+r AS (SELECT h FROM v GROUP BY h HAVING count(*) > 1),
+s AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 1 ELSE 0 END AS new FROM v JOIN r USING (h)),
+k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM s),
+g AS (SELECT doc_id, k, min(i) AS first, max(i) + 199 AS last FROM k GROUP BY doc_id, k),
+t AS (SELECT doc_id, first, last, coalesce(lag(last) OVER (PARTITION BY doc_id ORDER BY first), 0) AS before FROM g),
+p AS (SELECT doc_id, CAST(sum(last - first + 1) AS BIGINT) AS n_removed, count(*) AS n_spans, max(last) AS last,
+  list(CASE WHEN first > before + 1 THEN b[before + 1:first - 1] ELSE ''::BLOB END ORDER BY first) AS parts FROM t JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN p.doc_id IS NULL THEN b ELSE list_reduce(parts, lambda x, y: x || y) || (CASE WHEN last < n THEN b[last + 1:n] ELSE ''::BLOB END) END) AS kept_sha256
+FROM d LEFT JOIN p USING (doc_id)
 """,
     "op6_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
