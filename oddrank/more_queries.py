@@ -13,7 +13,7 @@ from oddrank.queries import _r, _t, query
 from oddrank.sources import readers, shared, sinks
 from oddrank.streaming import score as streaming
 
-_NATION = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
+_NATION = "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation"
 
 
 def _through(spark, d, fmt: str, suffix: str, **options) -> DataFrame:
@@ -58,7 +58,7 @@ def read_json_document(spark, d):
     return readers.read(spark, path).select("n_nationkey", "n_name", "n_regionkey")
 
 
-@query("SELECT 'r' || r_regionkey AS name, CAST(r_regionkey AS DOUBLE) AS value_0, CASE WHEN r_regionkey > 1 THEN r_regionkey * 2.5 END AS value_1 FROM region")
+@query("SELECT 'r' || r_regionkey AS name, CAST(r_regionkey AS DOUBLE) AS value_0, CASE WHEN r_regionkey > 1 THEN CAST(r_regionkey AS DOUBLE) * 2.5 END AS value_1 FROM region")
 def read_series(spark, d):
     path = shared.new_path(spark, "region") + ".tsf"
     r = _t(spark, d, "region").orderBy("r_regionkey").collect()
@@ -153,7 +153,7 @@ def infinity_counts(spark, d):
     return p.agg(F.sum((F.abs("a") == float("inf")).cast("long")).alias("n")).select(F.lit("a").alias("c"), "n")
 
 
-@query("SELECT o_orderkey, 0.5 AS flat, round(CASE WHEN o_totalprice < 100000 THEN 0 WHEN o_totalprice < 200000 THEN 0.25 WHEN o_totalprice < 300000 THEN 0.75 ELSE 1 END, 6) AS at FROM orders")
+@query("SELECT o_orderkey, CAST(0.5 AS DOUBLE) AS flat, CAST(CASE WHEN o_totalprice < 100000 THEN 0 WHEN o_totalprice < 200000 THEN 0.25 WHEN o_totalprice < 300000 THEN 0.75 ELSE 1 END AS DOUBLE) AS at FROM orders")
 def stored_calibration(spark, d):
     """New scores against stored points: the highest point that isn't above; a reference of one value only tells above from below."""
     points = [(100000.0, 0.25), (200000.0, 0.75), (300000.0, 1.0)]
