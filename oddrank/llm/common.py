@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from oddrank.sources.shared import new_path, shared_root, written  # noqa: F401  the operators' shared folder
 
-#: Target bytes of text in one group handed to Python.
-CHUNK_BYTES = 8 << 20
+#: Target bytes of text in one group handed to Python, and the most that it grows to.
+CHUNK_BYTES, MOST_CHUNK_BYTES = 8 << 20, 16 << 20
+#: Groups beyond which they grow: what groups tell each other is cut up by their number.
+MANY_CHUNKS = 1 << 16
 
 MASK64 = (1 << 64) - 1
 
@@ -44,9 +46,12 @@ def chunk_count(docs: DataFrame, text: str, target: int = CHUNK_BYTES) -> int:
     """How many groups of about ``target`` bytes of text the table makes.
 
     One narrow aggregate over the text column; at least the number of shuffle
-    partitions so that all cores have work.
+    partitions so that all cores have work. Beyond ``MANY_CHUNKS`` of them the
+    target doubles, up to ``MOST_CHUNK_BYTES``.
     """
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    while size > MANY_CHUNKS * target and 2 * target <= MOST_CHUNK_BYTES:
+        target *= 2
     return max(partitions(docs.sparkSession), -(-int(size) // target))
 
 
