@@ -569,3 +569,35 @@ def test_grouped_runs_rank_their_own_rows_exactly(spark):
     assert np.abs(got["cal_ecod"] - want).max() < 1e-12
     first = got.sort_values(["cal_ecod", readers.ROW_ID], ascending=[False, True]).groupby(detection.GROUP).head(690)
     assert got["flagged"].sum() == 1380 and first["flagged"].all()
+
+
+@pytest.mark.parametrize("most", [300, 60])
+def test_ecod_and_hbos_are_fitted_on_all_rows(spark, monkeypatch, most):
+    """Over the cap by aggregates; 60 is less than a column's distinct values too, so ECOD's scores are joined."""
+    rng = np.random.default_rng(4)
+    x = np.column_stack([np.round(rng.normal(size=900) * 20) / 20, rng.integers(0, 9, 900).astype(float)])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, c double").repartition(3)
+    for n in ("ecod", "hbos"):
+        monkeypatch.setitem(det.CAPS, n, most)
+    cfg = Config.from_dict({"columns": {"id_column": "id"}, "scoring": {"detectors": ["hbos", "ecod"], "contamination": 0.05}})
+    fitted, ranked = detection.run_detection(readers.with_row_id(df, id_column="id"), cfg)
+    got = ranked.toPandas().sort_values(readers.ROW_ID)
+    assert (fitted.tails is not None) == (most == 60)
+    of = feature_plan.apply(readers.with_row_id(df, id_column="id"), fitted.plan).toPandas().sort_values(readers.ROW_ID)
+    whole = of[fitted.plan.model_features].to_numpy(float)
+    for kind in (det.Ecod, det.Hbos):
+        alone = kind.fit(whole, fitted.plan.model_features, 0)
+        assert got[f"raw_{kind.name}"].to_numpy() == pytest.approx(alone.score(whole))
+        assert fitted.thresholds[kind.name] == pytest.approx(alone.threshold)
+    bounded = Config.from_dict({"columns": {"id_column": "id"}, "scoring": {"detectors": ["ecod"], "train_row_caps": {"ecod": 50}}})
+    assert detection.fit(readers.with_row_id(df, id_column="id"), bounded).models["ecod"].rows == 50
+
+
+def test_scores_are_rounded_as_sql_rounds(spark):
+    import duckdb
+
+    from oddrank import queries
+
+    df = spark.range(0, 3_600_000, 899).select((F.col("id") / 3_600_000).alias("score")).union(spark.range(400).select((F.col("id") * 18 + 9) / 3_600_000 + 0.3785))
+    got = df.select("score", queries._as_sql("score").alias("r")).toPandas()
+    assert (duckdb.sql("SELECT round(score, 6) AS w FROM got").df()["w"] == got["r"]).all()
